@@ -1,12 +1,16 @@
-"""Queries of problem 2."""
+"""Queries of problems 2 and 3."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veclore.llm.clusters import clusters
 from veclore.llm.curves import nearest
-from veclore.tables import current_rows, known_type, table, usable
+from pyspark.sql.window import Window
+
+from veclore.runtime import written
+from veclore.tables import accession, current_rows, known_type, label_key, table, usable
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +31,32 @@ def p2_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(rows, k=10).select("id", "rank", "neighbor_id", F.round("distance", 6).alias("distance"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbors": p2_neighbors}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, _ = clusters(vectors(spark, folder).select("id", "embeddings"))
+    return members.where("n >= 5").select("id", "cluster_id")
+
+
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cluster of at least 5: its size and cells, the three members nearest to the middle of its densest cell, and its commonest label."""
+    rows = written(vectors(spark, folder).select("id", "embeddings", accession(F.col("epi_isl")).alias("epi")), "vectors")
+    members, cells = clusters(rows.select("id", "embeddings"))
+    members = written(members.where("n >= 5"), "members")
+    densest = cells.groupBy("cluster_id").agg(F.max_by(F.struct("cell", "low", "high"), F.struct("n", -F.col("cell"))).alias("d"), F.count("*").alias("cells"))
+    middle = F.zip_with("d.low", "d.high", lambda a, b: (a + b) / 2)
+    off = F.aggregate(F.zip_with("x", "middle", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+    densest = densest.where(F.col("d").isNotNull()).select("cluster_id", F.col("d.cell").alias("cell"), middle.alias("middle"), "cells")
+    inner = members.join(densest, ["cluster_id", "cell"]).select("cluster_id", "id", off.alias("off"))
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("off", "id"))
+    typical = inner.withColumn("rank", rank).where("rank <= 3").groupBy("cluster_id").agg(*(F.max(F.when(F.col("rank") == i, F.col("id"))).alias(f"typical_{i}") for i in (1, 2, 3)))
+    meta = table(spark, folder, "clade_metadata").select(accession(F.coalesce(F.nullif(F.trim("epi_isl"), F.lit("")), "isolate_id")).alias("epi"), label_key(F.col("clade")).alias("clade"))
+    meta = meta.where("epi is not null and clade is not null").groupBy("epi").agg(F.min("clade").alias("clade"))
+    named = members.select("id", "cluster_id").join(rows.select("id", "epi"), "id").join(meta, "epi").groupBy("cluster_id", "clade").agg(F.count("*").alias("votes"))
+    top = named.groupBy("cluster_id").agg(F.min_by("clade", F.struct(-F.col("votes"), "clade")).alias("clade"), F.count("*").alias("clades"), F.sum("votes").alias("labelled"))
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("members"))
+    return sizes.join(densest.select("cluster_id", "cells"), "cluster_id").join(typical, "cluster_id").join(top, "cluster_id", "left")
+
+
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p2_found": p2_found, "p2_neighbors": p2_neighbors}
 P2_FOUND_SQL = r"""
 WITH cur AS (SELECT id, embeddings::DOUBLE[] v, 'H' || regexp_extract(types, '(?i)H(\d+)N(\d+)', 1) || 'N' || regexp_extract(types, '(?i)H(\d+)N(\d+)', 2) kind
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) rn FROM embedding_cache WHERE cache_name = 'fixed') WHERE rn = 1 AND len(embeddings) = 64),
