@@ -33,7 +33,7 @@ from veclore.runtime import broadcast_if_small, written
 SHINGLE = 5
 WINDOW = 12
 #: Signs without a width of their own: soft hyphen, joiners, direction marks, variation selectors, byte order mark.
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻\U000e0000-\U000e0fff]")
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb\U000e0000-\U000e0fff]")
 WORD = re.compile(r"[^\W_]+")
 
 

@@ -1,10 +1,11 @@
-"""Queries of problem 6."""
+"""Queries of problems 6 and 8."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veclore.llm import pii
 from veclore.llm.leaks import leaks
 from veclore.tables import table
 
@@ -23,5 +24,19 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "eval_items").select("item_id", "suite").join(found, "item_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items}
+def _pages(spark: SparkSession, folder: str):
+    pages = table(spark, folder, "documents").select("doc_id", "text")
+    return pages, pii.train(pages, table(spark, folder, "name_parts"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found_texts(*_pages(spark, folder))
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages with personal data, each replaced by its placeholder."""
+    return pii.redacted(*_pages(spark, folder)).where("entities > 0")
+
+
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p6_found": p6_found, "p6_items": p6_items}
 ORACLES: dict[str, str] = {}
