@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from veclore.runtime import written
 PARTS, SPAN = 144, 6
 #: Records hashed at once in a task: a few million letters.
 SLICE = 256
+#: Keys that are broadcast at most: 8 bytes each.
+ASKED = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,9 +97,10 @@ def _two_bits(sketch: np.ndarray) -> list[bytes]:
 
 
 def sketches(records: DataFrame, k: int) -> DataFrame:
-    """(key, text, n, sketch, bits): one row per key with substrings; ``text`` identifies the cleaned text."""
+    """(uid, key, text, n, sketch, bits): a row per row of records with substrings; ``text`` identifies the cleaned text."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uid = TaskContext.get().partitionId() << 40
         for b in batches:
             for s in range(0, len(b), SLICE):
                 p = b.iloc[s : s + SLICE]
@@ -106,13 +110,12 @@ def sketches(records: DataFrame, k: int) -> DataFrame:
                 count = np.bincount(owner, minlength=len(p))
                 sk = parts(owner, hashes, len(p))
                 text = [int.from_bytes(hashlib.blake2b(f"{a}|{z}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for a, z in zip(first, second)]
-                out = pd.DataFrame({"key": p.key.to_numpy(), "text": text, "n": count, "sketch": [r.tobytes() for r in sk], "bits": _two_bits(sk)})
+                out = pd.DataFrame({"uid": uid + np.arange(len(p)), "key": p.key.to_numpy(), "text": text, "n": count, "sketch": [r.tobytes() for r in sk], "bits": _two_bits(sk)})
+                uid += len(p)
                 yield out[count > 0]
 
     rows = records.where("key is not null and (first_text is not null or second_text is not null)").select("key", "first_text", "second_text")
-    rows = rows.mapInPandas(sketch, "key bigint, text bigint, n bigint, sketch binary, bits binary")
-    full = rows.groupBy("key").agg(F.max(F.struct("n", "text", "sketch", "bits")).alias("r"))
-    return full.select("key", "r.text", "r.n", "r.sketch", "r.bits")
+    return written(rows.mapInPandas(sketch, "uid bigint, key bigint, text bigint, n bigint, sketch binary, bits binary"), "sketches")
 
 
 def _alike(threshold: float, slack: float = 4.0):
@@ -137,7 +140,7 @@ def _shared(k: int):
 
         def kmers(packed: bytes) -> np.ndarray:
             if packed not in kept:
-                if len(kept) > 2000:
+                if len(kept) > 1000:
                     kept.clear()
                 kept[packed] = np.unique(kmer_hashes(zlib.decompress(packed).decode("utf-8", "surrogatepass").split("|"), k)[1])
             return kept[packed]
@@ -147,7 +150,7 @@ def _shared(k: int):
             for x, y in zip(a, b):
                 x, y = kmers(x), kmers(y)
                 both = np.concatenate([x, y])
-                both.sort()
+                both.sort(kind="stable")  # two sorted runs: merged
                 s = int((both[1:] == both[:-1]).sum())
                 out.append((s, len(both) - s))
             yield pd.DataFrame(out, columns=["shared", "total"])
@@ -160,10 +163,13 @@ def similar(records: DataFrame, threshold: float = 0.6, k: int = 16) -> tuple[Da
 
     Records with the same text have one representative, the smallest key. Similarity is shared / total of the substrings.
     """
-    sk = written(sketches(records, k), "sketches")
-    reps = sk.groupBy("text").agg(F.min("key").alias("rep"))
-    members = written(sk.join(reps, "text").select("key", "rep"), "members")
-    lead = sk.join(members.where("key = rep").select("key"), "key", "left_semi")
+    sk = sketches(records, k)
+    # narrow rows decide which row stands for a key and for a text; the wide ones move once
+    keys = sk.groupBy("key").agg(F.max(F.struct("n", "text", "uid")).alias("r")).select("key", "r.text", "r.uid")
+    reps = keys.groupBy("text").agg(F.min(F.struct("key", "uid")).alias("r")).select("text", F.col("r.key").alias("rep"), F.col("r.uid").alias("uid"))
+    members = written(keys.select("key", "text").join(reps, "text").select("key", "rep", "uid"), "members")
+    lead = written(sk.join(members.where("key = rep").select("uid"), "uid", "left_semi").select("key", "sketch", "bits"), "lead")
+    members = members.select("key", "rep")
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -183,9 +189,13 @@ def similar(records: DataFrame, threshold: float = 0.6, k: int = 16) -> tuple[Da
     def packed(first: pd.Series, second: pd.Series) -> pd.Series:
         return pd.Series([zlib.compress(f"{clean(a)}|{clean(b)}".encode("utf-8", "surrogatepass"), 1) for a, b in zip(first, second)], dtype=object)
 
-    asked = candidates.select(F.col("a").alias("key")).union(candidates.select("b")).distinct()
-    texts = records.join(asked, "key", "left_semi").select("key", packed("first_text", "second_text").alias("packed"))
-    texts = written(texts.groupBy("key").agg(F.max_by("packed", F.length("packed")).alias("packed")), "texts")
+    asked = written(candidates.select(F.col("a").alias("key")).union(candidates.select("b")).distinct(), "asked")
+    whole = records.select("key", "first_text", "second_text")
+    if asked.count() <= ASKED:  # a broadcast of at most so many keys; beyond it the texts are packed before they move
+        texts = whole.join(F.broadcast(asked), "key", "left_semi").select("key", packed("first_text", "second_text").alias("packed"))
+    else:
+        texts = whole.select("key", packed("first_text", "second_text").alias("packed")).join(asked, "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.max_by("packed", F.length("packed")).alias("packed"))
     pairs = candidates
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("key").alias(side), F.col("packed").alias(f"text_{side}")), side)
