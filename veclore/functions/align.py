@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The scoring that the distance is defined by.
 MATCH, MISMATCH, OPEN, EXTEND = 1.0, 0.0, -2.0, -0.5
@@ -55,7 +56,7 @@ def alignment_counts(a: str, b: str) -> tuple[int, int, int]:
     return wrong, gaps, aligned
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def alignment_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """(mismatches + gap letters) / (aligned pairs + gap letters); NULL for NULL or two empty texts."""
 

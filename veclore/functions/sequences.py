@@ -82,12 +82,12 @@ def major_label(major: Column, label: Column) -> Column:
 
 
 def month_index(year: Column, month: Column) -> Column:
-    """Months since year 0, the month clipped to 1..12."""
-    return year * 12 + F.greatest(F.lit(1), F.least(F.lit(12), month)) - 1
+    """Months since year 0, the month clipped to 1..12; NULL if either is."""
+    return F.when(month.isNotNull(), year * 12 + F.greatest(F.lit(1), F.least(F.lit(12), month)) - 1)
 
 
 def month_label(index: Column) -> Column:
-    return F.format_string("%04d-%02d", F.floor(index / 12).cast("int"), (index % 12 + 1).cast("int"))
+    return F.when(index.isNotNull(), F.format_string("%04d-%02d", F.floor(index / 12).cast("int"), (index % 12 + 1).cast("int")))
 
 
 def canonical(c: Column) -> Column:
@@ -108,13 +108,12 @@ def good_sequence(c: Column, segment: str) -> Column:
 def translated(c: Column, stop: bool = False) -> Column:
     """Amino acids of the whole codons in frame 0, ``X`` for unknown codons. ``stop``: N reads as A, and the protein ends before the first stop."""
     s = F.replace(F.upper(c), F.lit("N"), F.lit("A")) if stop else F.upper(c)
-    at = lambda i, d: F.instr(F.lit(BASES), F.substring(s, i + d, F.lit(1))) - 1
 
-    def acid(i: Column) -> Column:
-        a, b, d = at(i, 0), at(i, 1), at(i, 2)
+    def acid(codon: Column) -> Column:
+        a, b, d = (F.instr(F.lit(BASES), F.substring(codon, i, 1)) - 1 for i in (1, 2, 3))
         return F.when((a >= 0) & (b >= 0) & (d >= 0), F.substring(F.lit(AMINO_ACIDS), a * 16 + b * 4 + d + 1, F.lit(1))).otherwise("X")
 
-    protein = F.when(F.length(s) >= 3, F.array_join(F.transform(F.sequence(F.lit(1), F.length(s) - 2, F.lit(3)), acid), "")).when(c.isNotNull(), F.lit(""))
+    protein = F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)(.{3})"), 1), acid), "")
     return F.substring_index(protein, "*", 1) if stop else protein
 
 
@@ -126,7 +125,7 @@ def content_key(*columns: Column, bits: int = 1) -> Column:
 
 def kmers(c: Column, k: int) -> Column:
     """All k-letter substrings, by position; an empty array for shorter texts."""
-    return F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, F.lit(k)))).when(c.isNotNull(), F.array().cast("array<string>"))
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
 
 
 def joined_segments(a: Column, b: Column, k: int) -> Column:

@@ -1,7 +1,7 @@
 """All queries of the core, with their SQL twins."""
 
-from veclore.plans import integrity
+from veclore.plans import integrity, sequences
 
-MODULES = (integrity,)
+MODULES = (integrity, sequences)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
