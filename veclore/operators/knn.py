@@ -49,7 +49,7 @@ def exact_neighbors(rows: DataFrame, k: int, group: str = "grp", key: str = "id"
                     rough[np.abs(near - b) > width] = np.inf
                 bound = np.partition(rough, k - 1)[k - 1] if len(rough) > k else np.inf
                 c = np.flatnonzero((rough <= bound + 1e-6 * (1 + abs(bound) if np.isfinite(bound) else 1)) & np.isfinite(rough))
-                d = np.sqrt(((x[c] - y[i]) ** 2).sum(axis=1)) if metric == "euclidean" else 1 - x[c] @ y[i]
+                d = np.sqrt(((x[c] - y[i]) ** 2).sum(axis=1)) if metric == "euclidean" else 1 - (x[c] * y[i]).sum(axis=1)
                 o = np.lexsort((ids[c], d))[:k]
                 out.append(pd.DataFrame({"grp": p.grp.iloc[0], "query_id": me, "neighbor_id": ids[c][o], "distance": d[o]}))
         return pd.concat(out) if out else pd.DataFrame({"grp": [], "query_id": [], "neighbor_id": [], "distance": []})
