@@ -69,5 +69,5 @@ def classification(rows: DataFrame, group: list[str] | None = None) -> DataFrame
     p, t = F.col("predicted"), F.col("true_class")
     cells = {f"{a}{b}": F.count_if((t == a) & (p == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)}
     out = rows.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(p.isNull()).alias("unknown"), F.count_if(t == 0).alias("t0"), F.count_if(t == 1).alias("t1"), *cells.values())
-    f1 = lambda a: F.coalesce(2 * F.col(f"c{a}{a}") / F.nullif(F.col("c00") * (a == 0) + F.col("c11") * (a == 1) + F.col(f"c{1 - a}{a}") + F.col(f"t{a}"), F.lit(0)), F.lit(0.0))
+    f1 = lambda a: F.coalesce(2 * F.col(f"c{a}{a}") / F.nullif(F.col(f"c{a}{a}") + F.col(f"c{1 - a}{a}") + F.col(f"t{a}"), F.lit(0)), F.lit(0.0))
     return out.select(*group, "n", "c00", "c01", "c10", "c11", ((F.col("c00") + F.col("c11")) / F.col("n")).alias("accuracy"), ((f1(0) + f1(1)) / 2).alias("macro_f1"), (F.col("unknown") / F.col("n")).alias("unknown_share"))

@@ -17,7 +17,7 @@ def text_rows(rows: DataFrame, style: str = "markdown", digits: int = 4) -> Data
     """(line): one formatted line per row, made by Spark; see ``head_lines`` for what stands above them."""
     cells = [cell(F.col(c), k, digits) for c, k in rows.dtypes]
     if style == "latex":
-        line = F.concat(F.concat_ws(" & ", *(F.regexp_replace(c, r"([%&_#])", r"\\\\$1") for c in cells)), F.lit(r" \\"))
+        line = F.concat(F.concat_ws(" & ", *(F.regexp_replace(c, r"([%&_#])", r"\\$1") for c in cells)), F.lit(r" \\"))
     else:
         line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     return rows.select(line.alias("line"))
