@@ -197,14 +197,14 @@ def decided_links(points: DataFrame, table: DataFrame, pairs: DataFrame, radius:
 
 
 def clusters(rows: DataFrame, radius: float = 0.8, size: int = 64, min_cell: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(members: id, cell, cluster_id, n; cells: cell, n, cluster_id, ...) for rows (id, embeddings). ``cluster_id`` is the smallest id of
+    """(members: id, cell, cluster_id, n, x; cells: cell, n, cluster_id, cluster_n, low, high) for rows (id, embeddings). ``cluster_id`` is the smallest id of
     the cluster, ``n`` its size; single vectors are clusters of one."""
     points = rows.where("id is not null and embeddings is not null").select("id", "embeddings")
     points, table = cells(written(points, "points"), radius, size)
     table = table.where(F.col("n") >= min_cell)
     if table.isEmpty():
-        none = table.select(F.col("first_id").alias("id"), "cell", F.col("first_id").alias("cluster_id"), "n")
-        return none, table.withColumn("cluster_id", F.col("first_id"))
+        none = table.select(F.col("first_id").alias("id"), "cell", F.col("first_id").alias("cluster_id"), "n", F.col("member").alias("x"))
+        return none, table.select("cell", "n", F.col("first_id").alias("cluster_id"), F.col("n").alias("cluster_n"), "low", "high")
     links = cell_links(table, radius)
     sure = links.where("sure").select("a", "b")
     label = connected_components(sure)

@@ -33,9 +33,11 @@ ROWS_PER_PARTITION = 40_000
 
 
 def projections(size: int, curves: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random orthonormal directions (curves, size, DIMS) and shifts (curves, DIMS) as parts of the whole range."""
+    """Random orthonormal directions (curves, size, DIMS) and shifts (curves, DIMS) as parts of the whole range; of vectors
+    shorter than DIMS the directions are only unit vectors."""
     rng = np.random.default_rng(seed)
-    turn = np.stack([np.linalg.qr(rng.normal(size=(size, DIMS)))[0] for _ in range(curves)])
+    turn = rng.normal(size=(curves, size, DIMS))
+    turn = np.stack([np.linalg.qr(t)[0] for t in turn]) if size >= DIMS else turn / np.linalg.norm(turn, axis=1, keepdims=True)
     return turn, rng.uniform(0.0, 0.3, (curves, DIMS))
 
 

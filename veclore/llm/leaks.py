@@ -69,7 +69,7 @@ def shingle_hashes(text: str | None, size: int, cache: dict[str, int]) -> np.nda
 
 
 def shingles(texts: DataFrame, key: str, size: int = SHINGLE) -> DataFrame:
-    """(key, pos, shingle) for every run of ``size`` words of ``text``."""
+    """(key, version, pos, shingle) for every run of ``size`` words of ``text``; ``version`` tells texts of one key apart."""
 
     @F.pandas_udf("array<bigint>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -77,32 +77,33 @@ def shingles(texts: DataFrame, key: str, size: int = SHINGLE) -> DataFrame:
         for batch in batches:
             yield pd.Series([shingle_hashes(t, size, cache) for t in batch], dtype=object)
 
-    full = texts.where("text is not null and text != ''").select(key, hashes("text").alias("all"))
-    return full.select(key, F.posexplode("all").alias("pos", "shingle"))
+    full = texts.where("text is not null and text != ''").select(key, F.xxhash64("text").alias("version"), hashes("text").alias("all"))
+    return full.select(key, "version", F.posexplode("all").alias("pos", "shingle"))
 
 
 def leaks(pages: DataFrame, items: DataFrame, window: int = WINDOW, size: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, words): pages (doc_id, text) that share at least ``window`` consecutive words with an item
     (item_id, text), and the longest run shared."""
     per_window = window - size + 1
-    parts = written(shingles(items, "item_id", size), "items")
+    parts = written(shingles(items, "item_id", size).distinct(), "items")
     vocabulary = broadcast_if_small(parts.select("shingle").distinct(), 2_000_000)
     hits = written(shingles(pages, "doc_id", size).join(vocabulary, "shingle", "left_semi"), "hits")
 
     # rarity over the whole corpus; a window with a shingle that no page has cannot leak
     rarity = hits.groupBy("shingle").agg(F.approx_count_distinct("doc_id", 0.02).alias("pages"))
-    ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, per_window - 1)
+    ahead = Window.partitionBy("item_id", "version").orderBy("pos").rowsBetween(0, per_window - 1)
     ranked = parts.join(rarity, "shingle", "left")
     ranked = ranked.withColumn("least", F.min(F.struct("pages", "shingle", "pos")).over(ahead)).withColumn("there", F.count("pages").over(ahead))
     anchors = ranked.where(F.col("there") == per_window).select(
-        "item_id", F.col("pos").alias("start"), F.col("least.shingle").alias("shingle"), F.col("least.pos").alias("anchor")
+        "item_id", F.col("version").alias("item_version"), F.col("pos").alias("start"), F.col("least.shingle").alias("shingle"), F.col("least.pos").alias("anchor")
     )
     anchors = broadcast_if_small(written(anchors, "anchors"), 2_000_000)
 
     diagonal = (F.col("pos") - F.col("anchor")).alias("diagonal")
-    candidates = hits.join(anchors, "shingle").where(F.col("pos") - F.col("anchor") + F.col("start") >= 0).select("doc_id", "item_id", diagonal).distinct()
-    aligned = candidates.join(hits, "doc_id").select("doc_id", "item_id", "diagonal", "shingle", (F.col("pos") - F.col("diagonal")).alias("pos")).where("pos >= 0")
-    agree = aligned.join(broadcast_if_small(parts, 2_000_000), ["item_id", "pos", "shingle"], "left_semi")
-    line = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("pos")
-    runs = agree.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("doc_id", "item_id", "diagonal", "run").agg(F.count("*").alias("n"))
+    candidates = hits.join(anchors, "shingle").where(F.col("pos") - F.col("anchor") + F.col("start") >= 0).select("doc_id", "version", "item_id", "item_version", diagonal).distinct()
+    line = ["doc_id", "version", "item_id", "item_version", "diagonal"]
+    aligned = candidates.join(hits, ["doc_id", "version"]).select(*line, "shingle", (F.col("pos") - F.col("diagonal")).alias("pos")).where("pos >= 0")
+    agree = aligned.join(broadcast_if_small(parts.withColumnRenamed("version", "item_version"), 2_000_000), ["item_id", "item_version", "pos", "shingle"], "left_semi").distinct()
+    along = Window.partitionBy(*line).orderBy("pos")
+    runs = agree.withColumn("run", F.col("pos") - F.row_number().over(along)).groupBy(*line, "run").agg(F.count("*").alias("n"))
     return runs.where(F.col("n") >= per_window).groupBy("doc_id", "item_id").agg((F.max("n") + size - 1).cast("int").alias("words"))
