@@ -14,6 +14,7 @@ from veclore.operators import stats
 from veclore.operators.knn import exact_neighbors
 from veclore.operators.ranks import sampled_pairs
 from veclore.plans.base import RECORDS_SQL, acc_sql, pairs_sql, records
+from veclore.runtime import written
 from veclore.tables import accession, table
 
 AA, SEED = S.AMINO_ACIDS, 42
@@ -185,8 +186,8 @@ def aligned_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def dedup_policies(spark: SparkSession, folder: str) -> DataFrame:
     """Rows kept and removed per group, and their months, under each representative policy."""
-    r = records(spark, folder).where("grp is not null")
-    key, out = [F.col("grp"), S.content_key(F.col("ha"), F.col("na"))], None
+    r = records(spark, folder).where("grp is not null").select("id", "grp", "month_index", S.content_key(F.col("ha"), F.col("na")).alias("content"))
+    r, key, out = written(r, "contents"), [F.col("grp"), F.col("content")], None
     whole = r.groupBy("grp").agg(F.count("*").alias("all"))
     for policy in ("first", "earliest", "latest", "random"):
         kept = R.representatives(r.where("month_index is not null") if policy != "first" else r, key, policy, seed=SEED)
