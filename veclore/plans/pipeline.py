@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +10,20 @@ from veclore.operators import ranking, series, stats
 from veclore.operators.records import representatives
 from veclore.operators.sampling import stratified
 from veclore.plans.base import CACHED_SQL, RECORDS_SQL, acc_sql, cached, clean_sql, records
-from veclore.runtime import shared_folder, written
+from veclore.runtime import place, written
 from veclore.sources import fasta, reports
 from veclore.sources import tables as files
 from veclore.streaming import jobs
 from veclore.tables import accession, table
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/veclore/{name}-{uuid.uuid4().hex}"
-
-
 def fasta_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Records written as FASTA, one file set per segment, read back, parsed and paired."""
     r = records(spark, folder).where("year is not null and ha is not null and na is not null")
     date = F.format_string("%d-%02d-%02d", "year", F.coalesce("month", F.lit(6)), F.lit(15))
     paths = []
     for segment, mark, column in (("HA", "4", "ha"), ("NA", "NA", "na")):
-        paths.append(_place(spark, f"fasta-{segment}"))
+        paths.append(place(spark, f"fasta-{segment}"))
         head = F.concat_ws("|", "id", F.replace(F.coalesce("strain_name", F.lit("?")), F.lit(" "), F.lit("_")), F.concat(F.lit("A_/_"), F.coalesce("grp", F.lit("?"))), date, F.lit(mark))
         fasta.write_fasta(r.where(f"{column} != ''").select(head.alias("header"), F.col(column).alias("sequence")), paths[-1])
     rows = fasta.parsed_headers(fasta.read_fasta(spark, [*paths, paths[0] + "-missing"]))
@@ -43,7 +37,7 @@ FASTA_SQL = f"""WITH {RECORDS_SQL} SELECT id::VARCHAR epi_isl, coalesce(replace(
 
 def dataset_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Paired records as JSON by subtype, read back and counted."""
-    path = _place(spark, "dataset")
+    path = place(spark, "dataset")
     files.write_dataset(records(spark, folder).where("grp is not null").select(F.col("grp").alias("subtype"), "id", "ha", "na", "year", "month"), path)
     back = files.read_dataset(spark, path, "subtype string, id bigint, ha string, na string, year int, month int")
     return back.groupBy("subtype", "year").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum(F.length("ha")).alias("letters"))
@@ -54,7 +48,7 @@ DATASET_SQL = f"WITH {RECORDS_SQL} SELECT grp subtype, year, count(*) n, sum(id)
 
 def label_file(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata as CSV in the order of loading, read back with aliases and null tokens resolved; the last line of a key wins."""
-    path = _place(spark, "labels")
+    path = place(spark, "labels")
     meta = table(spark, folder, "clade_metadata")
     key = accession(F.coalesce(F.nullif(F.trim("epi_isl"), F.lit("")), F.col("isolate_id")))
     lines = meta.select(F.lit(None).cast("string").alias("epi_isl"), key.alias("Isolate_Id"), "matched", "clade_raw", F.col("clade").alias("Clade"), "major_clade", F.col("lineage").alias("Lineage"), F.col("genotype").alias("Genotype"), F.col("loaded_at").alias("__t"), "meta_id")
@@ -71,7 +65,7 @@ LABEL_FILE_SQL = LABEL_FILE_SQL.replace("coalesce(raw, clade) clade_raw", "raw c
 
 def resumed_cache(spark: SparkSession, folder: str) -> DataFrame:
     """The cache written by type and checked, half of it first, then all of it twice; no id is repeated."""
-    path = _place(spark, "cache")
+    path = place(spark, "cache")
     rows = cached(spark, folder).select("id", "grp", F.size("vector").alias("size"), "month_index")
     rows.where("month_index is null or month_index % 2 = 0").write.parquet(path)
     for _ in range(2):
@@ -224,7 +218,7 @@ SELECT n, c00, c01, c10, c11, round((c00 + c11) / n, 6) accuracy, round(f, 6) ma
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream. It is copied to a folder of its own first: file streams read folders."""
-    path = _place(spark, "events")
+    path = place(spark, "events")
     e = table(spark, folder, "events")
     e.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
     return jobs.stream(spark, path, spark.read.parquet(path).schema, 100)
@@ -232,7 +226,7 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
     """S09, U02, W01 as a stream: events deduplicated on their content, counted by type."""
-    out = _place(spark, "distinct")
+    out = place(spark, "distinct")
     rows = jobs.deduplicated(_event_stream(spark, folder), S.content_key(F.col("user_id").cast("string"), F.col("event_type"), F.date_format("ts", "yyyy-MM-dd")), "ts", "400 days")
     jobs.run_to_table(rows.select("event_type", "content_key"), out, out + "-checkpoint")
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -243,7 +237,7 @@ STREAM_DISTINCT_SQL = "SELECT event_type, count(DISTINCT coalesce(user_id::VARCH
 
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     """A10 as a stream: daily means per event type, given out once the watermark has passed the day."""
-    out = _place(spark, "windows")
+    out = place(spark, "windows")
     rows = jobs.windowed(_event_stream(spark, folder), "ts", "1 hour", "1 day", ["event_type"], n=F.count("*"), mean=F.avg("value"))
     jobs.run_to_table(rows, out, out + "-checkpoint")
     back = spark.read.parquet(out)
@@ -256,7 +250,7 @@ GROUP BY date_trunc('day', ts), event_type HAVING date_trunc('day', ts) + INTERV
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions of each user with less than 30 minutes between events, those that the watermark has closed."""
-    out = _place(spark, "sessions")
+    out = place(spark, "sessions")
     rows = jobs.sessions(_event_stream(spark, folder), "ts", "1 hour", "30 minutes", ["user_id"], n=F.count("*"))
     jobs.run_to_table(rows, out, out + "-checkpoint")
     return spark.read.parquet(out).groupBy("n").agg(F.count("*").alias("sessions"))

@@ -34,13 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application, in the shared folder."""
+    return f"{shared_folder(spark)}/veclore/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written once as parquet to the shared folder and read back: the lineage ends there, a lost executor
-    recomputes nothing, and the optimizer knows the table's true size."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/veclore/{name}-{uuid.uuid4().hex}"
+    recomputes nothing, and the optimizer knows the table's true size. ``discard`` removes what an application wrote."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove the tables this application wrote to the shared folder. Frames that read them are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/veclore/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
