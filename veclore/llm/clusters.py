@@ -42,7 +42,7 @@ def cells(points: DataFrame, radius: float, size: int) -> tuple[DataFrame, DataF
     A cell's box is at most ``radius`` long from corner to corner. The width starts at the radius and is halved for cells
     that are too long; at ``radius / sqrt(size)`` the bound holds by construction.
     """
-    axes = [F.col("x")[i].cast("double") for i in range(size)]
+    axes = [F.col("x")[i] for i in range(size)]
     levels = int(np.ceil(np.log2(np.sqrt(size)))) + 1
     open_points, done_points, done_cells = points.select("id", F.col("embeddings").alias("x")), None, None
     for level in range(levels):
@@ -52,8 +52,8 @@ def cells(points: DataFrame, radius: float, size: int) -> tuple[DataFrame, DataF
             F.count("*").alias("n"), F.min(F.struct("id", "x")).alias("first"), *(F.min(a).alias(f"l{i}") for i, a in enumerate(axes)), *(F.max(a).alias(f"h{i}") for i, a in enumerate(axes))
         )
         low, high = F.array(*(f"l{i}" for i in range(size))), F.array(*(f"h{i}" for i in range(size)))
-        span = F.aggregate(F.zip_with(low, high, lambda a, b: (b - a) * (b - a)), F.lit(0.0), lambda s, v: s + v)
-        table = boxes.select("cell", "n", F.col("first.id").alias("first_id"), F.col("first.x").alias("member"), low.alias("low"), high.alias("high"), (span > radius * radius).alias("wide"))
+        squares = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (y.cast("double") - x) * (y.cast("double") - x)), F.lit(0.0), lambda s, v: s + v)
+        table = boxes.select("cell", "n", F.col("first.id").alias("first_id"), F.col("first.x").alias("member"), low.alias("low"), high.alias("high"), (squares(low, high) > radius * radius).alias("wide"))
         table = written(table, "cells")
         tight, wide = table.where("not wide").drop("wide"), table.where("wide").select("cell")
         last = level == levels - 1 or wide.isEmpty()
@@ -88,12 +88,6 @@ def coarse_axes(table: DataFrame) -> np.ndarray:
     return v[:, ::-1][:, :COARSE_DIMS]
 
 
-def _box_gap(low_a, high_a, low_b, high_b) -> np.ndarray:
-    """Least squared distance that two boxes allow."""
-    gap = np.maximum(0.0, np.maximum(low_a - high_b, low_b - high_a))
-    return (gap * gap).sum(axis=-1)
-
-
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index that each of ``n`` items is linked to by the pairs (a, b)."""
     root = np.arange(n)
@@ -110,7 +104,8 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def cell_links(table: DataFrame, radius: float) -> DataFrame:
     """(a, b, sure): cells that are linked by a pair of members, as a spanning forest per block; and undecided ones, whose
-    boxes may touch although the block's links leave them apart."""
+    boxes may touch although the block's links leave them apart. Only a cell's member and its reach, the distance from it
+    to the farthest corner of the box, go to the blocks; boxes stay where they are."""
     axes = coarse_axes(table)
     # two touching boxes have centres at most two radii apart: half a diagonal each, and the gap
     width = 2 * radius
@@ -120,15 +115,15 @@ def cell_links(table: DataFrame, radius: float) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            centre = (np.stack(b.low.to_numpy()) + np.stack(b.high.to_numpy())) / 2
-            at = np.floor(centre @ axes / width).astype(np.int64)
+            low, high, member = (np.stack(b[c].to_numpy()).astype(np.float64) for c in ("low", "high", "member"))
+            at = np.floor((low + high) / 2 @ axes / width).astype(np.int64)
+            reach = np.sqrt((np.maximum(member - low, high - member) ** 2).sum(axis=1))
+            out = pd.DataFrame({"cell": b.cell, "first_id": b.first_id, "member": [m.tobytes() for m in member.astype(np.float32)], "reach": reach})
             for s in steps:
-                key = at + (np.array(s) - 1)
-                yield b.assign(home=s == (1,) * COARSE_DIMS, place=[",".join(map(str, k)) for k in key.tolist()])
+                yield out.assign(home=s == (1,) * COARSE_DIMS, place=[",".join(map(str, k)) for k in (at + (np.array(s) - 1)).tolist()])
 
-    schema = "cell bigint, first_id bigint, member array<float>, low array<double>, high array<double>, home boolean, place string"
-    spread_out = table.select("cell", "first_id", "member", "low", "high").mapInPandas(spread, schema)
-    spread_out = written(spread_out, "spread")
+    schema = "cell bigint, first_id bigint, member binary, reach double, home boolean, place string"
+    spread_out = written(table.select("cell", "first_id", "member", "low", "high").mapInPandas(spread, schema), "spread")
     sizes = spread_out.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.bool_or("home").alias("lived")).where("lived").drop("lived")
     blocked = spread_out.join(sizes, "place").withColumn("mine", F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int"))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -137,31 +132,26 @@ def cell_links(table: DataFrame, radius: float) -> DataFrame:
     def link(p: pd.DataFrame) -> pd.DataFrame:
         """One block pair: at most about 2 * BLOCK cells."""
         p = p.sort_values("first_id").reset_index(drop=True)
-        x = np.stack(p.member.to_numpy()).astype(np.float64)
-        home = p.home.to_numpy()
+        x = np.frombuffer(b"".join(p.member), np.float32).reshape(len(p), -1).astype(np.float64)
+        home, reach, cell = p.home.to_numpy(), p.reach.to_numpy(), p.cell.to_numpy()
         square = (x * x).sum(axis=1)
-        n, a, b = len(p), [], []
+        n, a, b, near = len(p), [], [], []
         for s in range(0, n, 512):
-            d = square[s : s + 512, None] + square[None] - 2 * x[s : s + 512] @ x.T
-            near_a, near_b = np.nonzero(d <= radius * radius + 1e-6)
-            near_a += s
-            keep = (near_a < near_b) & (home[near_a] | home[near_b])
-            near_a, near_b = near_a[keep], near_b[keep]
-            true = ((x[near_a] - x[near_b]) ** 2).sum(axis=1) <= radius * radius
-            a.append(near_a[true])
-            b.append(near_b[true])
-        a, b = np.concatenate(a), np.concatenate(b)
-        root = _roots(n, a, b)
-        cell = p.cell.to_numpy()
+            d = np.sqrt(np.maximum(square[s : s + 512, None] + square[None] - 2 * x[s : s + 512] @ x.T, 0.0))
+            i, j = np.nonzero(d <= radius + reach[s : s + 512, None] + reach[None] + 1e-6 * (1 + d))
+            i += s
+            keep = (i < j) & (home[i] | home[j])
+            i, j = i[keep], j[keep]
+            true = ((x[i] - x[j]) ** 2).sum(axis=1) <= radius * radius
+            a.append(i[true])
+            b.append(j[true])
+            near.append(np.stack([i[~true], j[~true]]))
+        root = _roots(n, np.concatenate(a), np.concatenate(b))
         tree = np.flatnonzero(root != np.arange(n))
-        out = [pd.DataFrame({"a": cell[tree], "b": cell[root[tree]], "sure": True})]
-        low, high = np.stack(p.low.to_numpy()), np.stack(p.high.to_numpy())
-        for i in range(n):
-            j = np.flatnonzero((root[i + 1 :] != root[i]) & (home[i] | home[i + 1 :])) + i + 1
-            if len(j):
-                j = j[_box_gap(low[i], high[i], low[j], high[j]) <= radius * radius]
-                out.append(pd.DataFrame({"a": cell[i], "b": cell[j], "sure": False}))
-        return pd.concat(out, ignore_index=True)
+        i, j = np.concatenate(near, axis=1)
+        apart = root[i] != root[j]
+        sure = pd.DataFrame({"a": cell[tree], "b": cell[root[tree]], "sure": True})
+        return pd.concat([sure, pd.DataFrame({"a": cell[i[apart]], "b": cell[j[apart]], "sure": False})], ignore_index=True)
 
     return written(blocked.drop("mine", "other", "blocks", "place").groupBy("block").applyInPandas(link, "a bigint, b bigint, sure boolean"), "links")
 
@@ -172,6 +162,9 @@ def decided_links(points: DataFrame, table: DataFrame, pairs: DataFrame, radius:
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in ("a", "b"):
         both = both.join(facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns)), F.col(side) == F.col(f"{side}_cell")).drop(f"{side}_cell")
+    box = lambda side: F.zip_with(f"{side}_low", f"{side}_high", lambda lo, hi: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi")))
+    apart = F.zip_with(box("a"), box("b"), lambda a, b: F.greatest(F.lit(0.0), a["lo"] - b["hi"], b["lo"] - a["hi"]))
+    both = both.where(F.aggregate(apart, F.lit(0.0), lambda t, g: t + g * g) <= radius * radius)  # boxes that may touch
     chunks = F.ceil(F.greatest("a_n", "b_n") / CHUNK).cast("int")
     both = written(both.withColumn("chunks", chunks).withColumn("split_a", F.col("a_n") >= F.col("b_n")), "pairs")
     sides = None
@@ -180,7 +173,7 @@ def decided_links(points: DataFrame, table: DataFrame, pairs: DataFrame, radius:
         sides = one if sides is None else sides.unionByName(one)
     # only points that the other cell's box lets come near
     gap = F.aggregate(
-        F.zip_with(F.col("x"), F.zip_with("low", "high", lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))), lambda v, s: F.greatest(F.lit(0.0), s["lo"] - v, v - s["hi"])), F.lit(0.0), lambda t, g: t + g * g
+        F.zip_with(F.col("x"), F.zip_with("low", "high", lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))), lambda v, s: F.greatest(F.lit(0.0), s["lo"].cast("double") - v, v.cast("double") - s["hi"])), F.lit(0.0), lambda t, g: t + g * g
     )
     near = points.join(sides, "cell").where(gap <= radius * radius).select("a", "b", "is_a", "x", F.when(F.col("split"), F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
