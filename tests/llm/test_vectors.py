@@ -59,6 +59,25 @@ def test_recall_across_partitions(spark, monkeypatch):
     assert got.groupBy("id").agg(F.count("*").alias("n")).where("n != 10").count() == 0
 
 
+def test_a_far_vector_leaves_the_others_their_keys(spark):
+    x = lineages(2400)
+    x[2399], x[2398] = 1e7, -1e7
+    rows = rows_of(x)
+    got = {(r["id"], r["neighbor_id"]) for r in curves.nearest(spark.createDataFrame(rows, SCHEMA), k=10, curves=5, window=60).collect()}
+    true = brute(rows, 10)
+    assert len(got & true) / len(true) >= 0.97
+
+
+def test_near_copies_keep_their_order(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 64))
+    x[500:] = x[0] + np.outer(rng.permutation(1000), rng.normal(size=64)) * 1e-6  # a line of near copies, ids in no order
+    rows = rows_of(x.astype(np.float32), "a")
+    got = {(r["id"], r["neighbor_id"]) for r in curves.nearest(spark.createDataFrame(rows, SCHEMA), k=10, curves=5, window=60).collect() if r["id"] >= 500}
+    true = {p for p in brute(rows, 10) if p[0] >= 500}
+    assert len(got & true) / len(true) >= 0.97
+
+
 def test_small_groups_ties_and_nulls(spark):
     x = [[1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [5.0, 5.0]]
     rows = [(i, "a", v, True) for i, v in enumerate(x)] + [(10, "b", [1.0, 1.0], True), (11, None, [1.0, 1.0], True), (12, "a", None, True), (None, "a", [0.0, 1.0], True)]

@@ -5,8 +5,9 @@ partitions and sorts every ordering; a query looks at the rows up to ``window``
 each ordering, and the best of all windows are merged by true distance. Rows at the ends of a partition are handed over
 to the pair of neighbouring partitions, so windows cross partition borders.
 
-The only model, the projections, is drawn from a seed. The range of the coordinates, which scales the keys, is taken over
-all rows. Nothing is pruned by a sample.
+The only model, the projections, is drawn from a seed. Each projected axis is scaled by its quantiles per type, taken over
+all rows, so the key's bits go where the rows are and vectors of any length take one end cell each. Nothing is pruned by a
+sample.
 
 Recall against brute force is measured in the tests and in the README; ``curves`` and ``window`` are its knobs. Defined
 cases: rows with a NULL id, group or vector are no rows here; identical vectors are neighbours at distance 0, equal
@@ -27,13 +28,15 @@ from pyspark.sql.window import Window
 
 from veclore.runtime import written
 
-#: Curve dimensions and bits for each: 60 bits of key.
-DIMS, BITS = 4, 15
+#: Curve dimensions and bits for each: two words of 60 bits make a key, so that rows of one coarse step stay ordered.
+DIMS, BITS, FINE = 4, 15, 30
+#: Cuts of an axis at most, and of all types together.
+CUTS, ALL_CUTS = 256, 100_000
 ROWS_PER_PARTITION = 40_000
 
 
 def projections(size: int, curves: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random orthonormal directions (curves, size, DIMS) and shifts (curves, DIMS) as parts of the whole range; of vectors
+    """Random orthonormal directions (curves, size, DIMS) and shifts (curves, DIMS) as parts of the ranks; of vectors
     shorter than DIMS the directions are only unit vectors."""
     rng = np.random.default_rng(seed)
     turn = rng.normal(size=(curves, size, DIMS))
@@ -41,8 +44,9 @@ def projections(size: int, curves: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return turn, rng.uniform(0.0, 0.3, (curves, DIMS))
 
 
-def hilbert_key(q: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Place on the Hilbert curve of integer points ``q`` (n, dims), each coordinate under ``2**bits``.
+def hilbert_words(q: np.ndarray, bits: int = FINE, word: int = BITS) -> list[np.ndarray]:
+    """Place on the Hilbert curve of integer points ``q`` (n, dims), each coordinate under ``2**bits``: words of ``word``
+    bits of every coordinate, the highest first.
 
     The usual bit-by-bit construction: from the highest bit down, the point's cube is chosen and the axes of all lower
     bits are turned and flipped as the curve enters that cube; then the Gray code is undone.
@@ -61,11 +65,34 @@ def hilbert_key(q: np.ndarray, bits: int = BITS) -> np.ndarray:
     flip = np.zeros(n, np.uint64)
     for b in range(bits - 1, 0, -1):
         flip ^= np.where((x[-1] >> np.uint64(b)) & np.uint64(1), np.uint64((1 << b) - 1), np.uint64(0))
-    key = np.zeros(n, np.uint64)
-    for b in range(bits - 1, -1, -1):
-        for d in range(dims):
-            key = (key << np.uint64(1)) | (((x[d] ^ flip) >> np.uint64(b)) & np.uint64(1))
-    return key.view(np.int64)
+    words = []
+    for high in range(bits, 0, -word):
+        key = np.zeros(n, np.uint64)
+        for b in range(high - 1, max(high - word, 0) - 1, -1):
+            for d in range(dims):
+                key = (key << np.uint64(1)) | (((x[d] ^ flip) >> np.uint64(b)) & np.uint64(1))
+        words.append(key.view(np.int64))
+    return words
+
+
+def hilbert_key(q: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The place as one word."""
+    return hilbert_words(q, bits, bits)[0]
+
+
+def ranked(y: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Place of each value among the ascending ``cuts``, in [0, 1): every cell between two cuts gets the same share and is
+    straight inside. The two end cells have no far end: there the place nears 0 or 1 as the value goes out, so one far value
+    takes nothing from the others."""
+    m, eighth = len(cuts), -(-len(cuts) // 8)
+    cell = np.searchsorted(cuts, y, side="right")
+    low, high = cuts[np.clip(cell - 1, 0, m - 1)], cuts[np.clip(cell, 0, m - 1)]
+    whole = (cuts[-1] - cuts[0]) or 1.0
+    left, right = (cuts[min(eighth, m - 1)] - cuts[0]) or whole, (cuts[-1] - cuts[max(m - 1 - eighth, 0)]) or whole
+    inner = (y - low) / np.where(high > low, high - low, 1.0)
+    below, above = np.maximum(cuts[0] - y, 0.0), np.maximum(y - cuts[-1], 0.0)
+    t = np.where(cell == 0, left / (below + left), np.where(cell == m, above / (above + right), inner))
+    return (cell + np.minimum(t, 1.0 - 1e-12)) / (m + 1)
 
 
 def _nearest(vectors: np.ndarray, ids: np.ndarray, asking: list[int], among: list[tuple[int, int]], k: int) -> list[tuple[int, int, float]]:
@@ -91,6 +118,28 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
 
 
+def axis_cuts(held: DataFrame, turn: np.ndarray, window: int) -> tuple[dict[str, np.ndarray], int]:
+    """({types: cuts of its axes (axes, cuts)}, rows): quantiles over all rows, combined before the shuffle. Types whose rows
+    fit into a window need no order and have no cuts; of very many types each has fewer."""
+    sizes = held.groupBy("types").agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > window).alias("large")).first()
+    if not whole["large"]:
+        return {}, whole["rows"] or 0
+    number, flat = max(16, min(CUTS, ALL_CUTS // whole["large"])), np.concatenate(list(turn), axis=1)
+    axes = [f"y{i}" for i in range(flat.shape[1])]
+
+    def projected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                y = np.stack(b.embeddings.to_numpy()).astype(np.float64) @ flat
+                yield pd.DataFrame(y, columns=axes).assign(types=b.types.to_numpy())[["types", *axes]]
+
+    shares = F.array(*(F.lit(i / number) for i in range(1, number)))
+    y = held.select("types", "embeddings").mapInPandas(projected, "types string, " + ", ".join(f"{a} double" for a in axes))
+    found = y.groupBy("types").agg(F.count("*").alias("n"), *(F.percentile_approx(a, shares, 10_000).alias(a) for a in axes)).where(F.col("n") > window)
+    return {r["types"]: np.array([r[a] for a in axes]) for r in found.toLocalIterator()}, whole["rows"]
+
+
 _FOUND = "id bigint, neighbor_id bigint, distance double"
 
 
@@ -99,9 +148,8 @@ def nearest(rows: DataFrame, k: int = 10, curves: int = 5, window: int = 400, se
     among the other rows of the same ``types``."""
     turn, shift = projections(size, curves, seed)
     held = rows.where("id is not null and types is not null and embeddings is not null").select("id", "types", "embeddings", "asks")
-    widest = held.select(F.max(F.aggregate("embeddings", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m"), F.count("*").alias("n")).first()
-    reach = float(np.sqrt(widest["m"] or 1.0)) or 1.0  # no projection leaves [-reach, reach]
-    parts = max(2, -(-widest["n"] * curves // ROWS_PER_PARTITION))
+    cuts, count = axis_cuts(held, turn, window)
+    parts = max(2, -(-count * curves // ROWS_PER_PARTITION))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -109,13 +157,18 @@ def nearest(rows: DataFrame, k: int = 10, curves: int = 5, window: int = 400, se
                 continue
             x = np.stack(b.embeddings.to_numpy()).astype(np.float32)
             raw = [r.tobytes() for r in x]
+            kinds = {kind: np.asarray(at) for kind, at in b.groupby("types").indices.items() if kind in cuts}
             for c in range(curves):
-                y = (x @ turn[c] + reach) / (2 * reach) + shift[c]
-                q = np.minimum(y * (1 << BITS) / 1.3, (1 << BITS) - 1).astype(np.uint64)
-                yield pd.DataFrame({"curve": np.int32(c), "types": b.types, "key": hilbert_key(q), "id": b.id, "asks": b.asks, "vector": raw})
-
-    schema = "curve int, types string, key bigint, id bigint, asks boolean, vector binary"
-    order = ["curve", "types", "key", "id"]
+                y, u = x.astype(np.float64) @ turn[c], np.zeros((len(b), DIMS))
+                for kind, at in kinds.items():
+                    for d in range(DIMS):
+                        u[at, d] = ranked(y[at, d], cuts[kind][c * DIMS + d])
+                q = np.minimum((u + shift[c]) * (1 << FINE) / 1.3, (1 << FINE) - 1).astype(np.uint64)
+                key, fine = hilbert_words(q)
+                yield pd.DataFrame({"curve": np.int32(c), "types": b.types, "key": key, "fine": fine, "id": b.id, "asks": b.asks, "vector": raw})
+
+    schema = "curve int, types string, key bigint, fine bigint, id bigint, asks boolean, vector binary"
+    order = ["curve", "types", "key", "fine", "id"]
     placed = held.mapInPandas(keyed, schema).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,7 +188,7 @@ def nearest(rows: DataFrame, k: int = 10, curves: int = 5, window: int = 400, se
         for border, end in ((me - 1, p.head(window)), (me, p.tail(window))):
             yield end.assign(border=border, side=int(border != me))
 
-    columns = "border int, side int, neighbor_id bigint, distance double, curve int, types string, key bigint, id bigint, asks boolean, vector binary"
+    columns = "border int, side int, neighbor_id bigint, distance double, curve int, types string, key bigint, fine bigint, id bigint, asks boolean, vector binary"
     names = [c.split()[0] for c in columns.split(", ")]
 
     def padded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +200,7 @@ def nearest(rows: DataFrame, k: int = 10, curves: int = 5, window: int = 400, se
 
     def across(p: pd.DataFrame) -> pd.DataFrame:
         """One border: at most ``window`` rows from either side of it."""
-        p = p.sort_values(["curve", "types", "side", "key", "id"]).reset_index(drop=True)
+        p = p.sort_values(["curve", "types", "side", "key", "fine", "id"]).reset_index(drop=True)
         v, ids, asks, side = _matrix(p.vector), p.id.to_numpy(), p.asks.to_numpy(), p.side.to_numpy()
         found = []
         for low, high in _segments(p.curve.to_numpy(), p.types.to_numpy()):
