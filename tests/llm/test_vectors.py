@@ -78,6 +78,18 @@ def test_near_copies_keep_their_order(spark):
     assert len(got & true) / len(true) >= 0.97
 
 
+def test_more_copies_than_a_window(spark):
+    x = lineages(2400)
+    x[800:1600] = x[800]
+    x[801] = x[800] + 0.01
+    rows = rows_of(x, "a") + [(5000, "a", [0.0] * 64, True), (5001, "a", [-0.0] * 64, False)]
+    got = {(r["id"], r["neighbor_id"]) for r in curves.nearest(spark.createDataFrame(rows, SCHEMA), k=10, curves=5, window=60).collect()}
+    true = brute(rows, 10)
+    of_copies = {p for p in true if 800 <= p[0] < 1600}
+    assert of_copies == {p for p in got if 800 <= p[0] < 1600} and (5000, 5001) in got
+    assert len(got & true) / len(true) >= 0.97
+
+
 def test_small_groups_ties_and_nulls(spark):
     x = [[1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [5.0, 5.0]]
     rows = [(i, "a", v, True) for i, v in enumerate(x)] + [(10, "b", [1.0, 1.0], True), (11, None, [1.0, 1.0], True), (12, "a", None, True), (None, "a", [0.0, 1.0], True)]

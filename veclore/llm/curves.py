@@ -10,9 +10,8 @@ all rows, so the key's bits go where the rows are and vectors of any length take
 sample.
 
 Recall against brute force is measured in the tests and in the README; ``curves`` and ``window`` are its knobs. Defined
-cases: rows with a NULL id, group or vector are no rows here; identical vectors are neighbours at distance 0, equal
-distances go to the smaller id (among more than ``window`` identical vectors, to the smaller ids inside the window); a
-group with fewer than k other rows gives fewer; ids must be unique; empty input gives an empty result.
+cases: rows with a NULL id, group or vector are no rows here; identical vectors are neighbours at distance 0, and stand
+on the curves as one row however many there are; equal distances go to the smaller id; a group with fewer than k other rows gives fewer; ids must be unique; empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veclore.runtime import written
+from veclore.runtime import broadcast_if_small, written
 
 #: Curve dimensions and bits for each: two words of 60 bits make a key, so that rows of one coarse step stay ordered.
 DIMS, BITS, FINE = 4, 15, 30
@@ -143,11 +142,45 @@ def axis_cuts(held: DataFrame, turn: np.ndarray, window: int) -> tuple[dict[str,
 _FOUND = "id bigint, neighbor_id bigint, distance double"
 
 
+def copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Identical vectors of a type as one row each: (id, types, embeddings, asks) with the smallest id; (rep, id) of its
+    smallest k + 1 ids, where it has more than one; (id, rep) of every row that asks. Counts are combined and places cut
+    before the shuffle, so a group of any size is bounded."""
+    plain = F.transform("embeddings", lambda x: x + F.lit(0.0).cast("float"))  # -0.0 is 0.0
+    rows = rows.where("id is not null and types is not null and embeddings is not null").select("id", "types", plain.alias("embeddings"), F.coalesce("asks", F.lit(False)).alias("asks"))
+    rows = written(rows.withColumn("same", F.xxhash64("types", "embeddings")), "rows")
+    key = ["same", "types", "embeddings"]
+    groups = written(rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.bool_or("asks").alias("asks")), "groups")
+    several = broadcast_if_small(groups.where("n > 1").select(*key, "rep"), 50_000)
+    members = written(rows.join(several, key).select("rep", "id", "asks"), "members")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
+    smallest = members.select("rep", "id").withColumn("place", place).where(F.col("place") <= k + 1).select("rep", "id")
+    asking = groups.where("asks and n = 1").select(F.col("rep").alias("id"), "rep").unionByName(members.where("asks").select("id", "rep"))
+    return groups.select(F.col("rep").alias("id"), "types", "embeddings", "asks"), written(smallest, "copies"), asking
+
+
 def nearest(rows: DataFrame, k: int = 10, curves: int = 5, window: int = 400, seed: int = 7, size: int = 64) -> DataFrame:
     """(id, neighbor_id, distance, rank) for every row of ``rows`` (id, types, embeddings, asks) with ``asks`` true,
-    among the other rows of the same ``types``."""
+    among the other rows of the same ``types``.
+
+    The k nearest ids of a row all belong to the k nearest distinct vectors (ties: smaller first id) or to its own copies:
+    any other vector has k smaller ids or distances before it.
+    """
+    held, same, asking = copies(rows, k)
+    found = _distinct_nearest(held, k, curves, window, seed, size)
+    whole = found.select("id", "neighbor_id", "distance").unionByName(held.where("asks").select("id", F.col("id").alias("neighbor_id"), F.lit(0.0).alias("distance")))
+    whole = whole.withColumnRenamed("id", "asked").join(same.select(F.col("rep").alias("neighbor_id"), F.col("id").alias("copy")), "neighbor_id", "left")
+    whole = whole.select("asked", F.coalesce("copy", "neighbor_id").alias("neighbor_id"), "distance")
+    first = F.row_number().over(Window.partitionBy("asked").orderBy("distance", "neighbor_id"))
+    whole = whole.withColumn("place", first).where(F.col("place") <= k + 1)  # one may be the row itself
+    each = asking.join(whole, F.col("rep") == F.col("asked")).where(F.col("id") != F.col("neighbor_id")).select("id", "neighbor_id", "distance")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _distinct_nearest(held: DataFrame, k: int, curves: int, window: int, seed: int, size: int) -> DataFrame:
+    """``nearest`` among distinct vectors."""
     turn, shift = projections(size, curves, seed)
-    held = rows.where("id is not null and types is not null and embeddings is not null").select("id", "types", "embeddings", "asks")
     cuts, count = axis_cuts(held, turn, window)
     parts = max(2, -(-count * curves // ROWS_PER_PARTITION))
 
