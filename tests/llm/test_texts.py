@@ -131,3 +131,18 @@ def test_redaction_keeps_the_rest(spark):
     assert rows.count((5, "email", "ada@mail.example")) == 1
     empty = frame.where("false")
     assert pii.found_texts(empty, pii.train(empty, parts.where("false"))).count() == 0
+
+
+def test_words_are_counted_beyond_the_training_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [page(rng, [(g, f) for g in GIVEN for f in FAMILY])[0] for _ in range(60)] + ["Ada Zabransky came. Quirin Almgren left.", "Ada Zabransky sang."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    parts = spark.createDataFrame([(g, "given") for g in GIVEN] + [(f, "family") for f in FAMILY], "name_part string, part_kind string")
+    given, family = {g.lower() for g in GIVEN}, {f.lower() for f in FAMILY}
+    few = pii.train(frame, parts, rows=20)
+    assert few.lists.near == pii.neighbours(texts, given, family) and few.lists.near["zabransky"]
+    whole = sorted(map(tuple, pii.found_texts(frame, few).collect()))
+    monkeypatch.setattr(pii, "MAX_WORDS", 3)  # pages are given their words by a join
+    many = pii.train(frame, parts, rows=20)
+    assert many.words is not None and not many.lists.near and many.weights == few.weights
+    assert sorted(map(tuple, pii.found_texts(frame, many).collect())) == whole

@@ -10,7 +10,8 @@ The weights are fitted by maximum likelihood (forward-backward over the same seg
 ``TRAIN_ROWS`` documents, those with the smallest hashed ids. Their labels are silver: a segment with an unmistakable
 label in front of it, or a name of which both parts are listed, is one; a segment behind a label of something else
 (invoice, order, version ...) is none; everything in between is left out of the likelihood. The name lists are hidden
-from half of the names while fitting, so that unlisted names are learned from form and context.
+from half of the names while fitting, so that unlisted names are learned from form and context. Whether a word mostly
+stands beside a listed name part is counted over all documents.
 
 Defined cases: NULL and empty texts have nothing; a text is read whole however long it is; repeated entities of a page
 are one row; without labelled segments the weights are the prior ones, so that only unmistakable segments are found.
@@ -22,14 +23,20 @@ import heapq
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veclore.runtime import written
+
 TRAIN_ROWS = 3000
+#: Words of the corpus that are sent to every task; of more, each page is given its own.
+MAX_WORDS = 200_000
+#: Share of a word's places beside a listed name part from which on it counts as part of names.
+MOSTLY = 0.25
 KINDS = ("email", "phone", "id_number", "address", "name")
 NEAR = 3
 
@@ -103,7 +110,7 @@ def _edge(text: str, at: int, step: int) -> str:
 
 
 class Lists(NamedTuple):
-    """Listed name parts in lower case, and what the sample says about the other words: do they stand beside a listed part?"""
+    """Listed name parts in lower case, and what the corpus says about the other words: do they stand beside a listed part?"""
 
     given: set[str]
     family: set[str]
@@ -177,7 +184,7 @@ def _address_segments(text: str) -> Iterator[Segment]:
 
 
 def _status(token: str, listed: set[str], near: dict[str, bool]) -> str:
-    """``k``: listed; ``h``, ``l``: in the sample it mostly stands, or mostly doesn't stand, beside a listed part; ``u``: unseen there."""
+    """``k``: listed; ``h``, ``l``: in the corpus it mostly stands, or mostly doesn't stand, beside a listed part; ``u``: unseen there."""
     bare = re.sub(f"(?i)^{_PARTICLE}", "", token.lower())
     pieces = bare.split("-")
     if token.lower() in listed or bare in listed or all(p in listed for p in pieces):
@@ -322,27 +329,76 @@ def _gold(island: list[Segment]) -> list[Segment]:
 PRIOR = {"email": 2.0, "phone": -1.0, "id_number": -1.0, "address": 0.5, "name": -3.0, "name=kk": 4.0, "name=ik": 3.0, "name=hk": 2.5, "name=kh": 2.5, "name=ih": 2.0, "name=hh": 1.5, "name.titleTrue": -4.0, "name.innerTrue": -3.0, "name.thingTrue": -4.0, "name.placeTrue": -4.0, "address.low1": -1.0, "address.low2": -2.0, "address.low3": -3.0, "address.low4": -3.0, "address.low2False": -2.0, "address.low3False": -3.0, "name.lineTrue": -0.5}
 
 
-def neighbours(texts: list[str], given: set[str], family: set[str]) -> dict[str, bool]:
-    """For each capitalised word of the sample: whether most of its places are beside a listed name part."""
-    word, seen, beside = re.compile(rf"{_CAP}(?:-{_CAP})*"), {}, {}
-    listed = given | family
+_WORD = re.compile(rf"{_CAP}(?:-{_CAP})*")
+
+
+def beside_counts(texts: Iterable[str], listed: set[str]) -> dict[str, list[int]]:
+    """For each capitalised word that is not listed: in how many places it stands, and in how many beside a listed name part."""
+    counts: dict[str, list[int]] = {}
     for t in texts:
-        for m in word.finditer(t):
+        for m in _WORD.finditer(t):
             before = re.search(rf"(\S+),?\s(?:{_INITIAL}\s)?(?:{_PARTICLE})?$", t[max(0, m.start() - 32) : m.start()])
             after = re.match(rf",?\s(?:{_INITIAL}\s)?(?:{_PARTICLE})?(\S+)", t[m.end() : m.end() + 32])
             if _THING_LAST.match(t[m.end() : m.end() + 14]):
                 continue
             sides = [x[1].strip(".,;:!?").lower() for x in (before, after) if x]
-            for w in {m[0].lower(), *m[0].lower().split("-")}:
-                seen[w] = seen.get(w, 0) + 1
-                beside[w] = beside.get(w, 0) + any(s in listed or s.split("-")[0] in listed for s in sides)
-    return {w: beside[w] >= 0.25 * n for w, n in seen.items() if w not in listed}
+            for w in {m[0].lower(), *m[0].lower().split("-")} - listed:
+                count = counts.setdefault(w, [0, 0])
+                count[0] += 1
+                count[1] += any(s in listed or s.split("-")[0] in listed for s in sides)
+    return counts
+
+
+def neighbours(texts: list[str], given: set[str], family: set[str]) -> dict[str, bool]:
+    """For each capitalised word of the texts: whether it mostly stands beside a listed name part."""
+    return {w: beside >= MOSTLY * n for w, (n, beside) in beside_counts(texts, given | family).items()}
+
+
+def corpus_words(pages: DataFrame, listed: set[str]) -> DataFrame:
+    """(word, near) as ``neighbours``, counted over all pages; a task combines its counts before the shuffle."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
+        for b in batches:
+            for w, (n, beside) in beside_counts(b.text, listed).items():
+                count = held.setdefault(w, [0, 0])
+                count[0] += n
+                count[1] += beside
+            if len(held) > 200_000:
+                yield _counts(held)
+                held = {}
+        if held:
+            yield _counts(held)
+
+    sums = pages.select("text").mapInPandas(counted, "word string, n bigint, beside bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside"))
+    return written(sums.select("word", (F.col("beside") >= F.lit(MOSTLY) * F.col("n")).alias("near")), "words")
+
+
+def _counts(held: dict[str, list[int]]) -> pd.DataFrame:
+    return pd.DataFrame([(w, *c) for w, c in held.items()], columns=["word", "n", "beside"])
 
 
-def fit(texts: list[str], given: set[str], family: set[str], rounds: int = 6, rate: float = 0.3, decay: float = 1e-4, seed: int = 1) -> tuple[dict[str, float], Lists]:
-    """Weights by stochastic gradient ascent on the log-likelihood of the silver labels, with steps scaled per feature."""
+class _Asked(dict):
+    """Holds nothing and keeps what it is asked for."""
+
+    def get(self, key, default=None):
+        self[key] = None
+        return default
+
+
+def asked_words(text: str, given: set[str], family: set[str]) -> list[str]:
+    """The words whose ``near`` the name segments of a text depend on."""
+    asked = _Asked()
+    for _ in _name_segments(text, Lists(given, family, asked), None):
+        pass
+    return list(asked)
+
+
+def fit(texts: list[str], given: set[str], family: set[str], rounds: int = 6, rate: float = 0.3, decay: float = 1e-4, seed: int = 1, near: dict[str, bool] | None = None) -> tuple[dict[str, float], Lists]:
+    """Weights by stochastic gradient ascent on the log-likelihood of the silver labels, with steps scaled per feature.
+    Without ``near`` the words are counted on ``texts``."""
     weights, squares = dict(PRIOR), {}
-    lists = Lists(given, family, neighbours(texts, given, family))
+    lists = Lists(given, family, neighbours(texts, given, family) if near is None else near)
     hide, data = random.Random(seed), []
     for t in texts:
         for island in islands(segments(t, lists, hide)):
@@ -372,27 +428,66 @@ def fit(texts: list[str], given: set[str], family: set[str], rounds: int = 6, ra
     return {f: round(w, 4) for f, w in weights.items() if abs(w) > 0.02}, lists
 
 
-def train(documents: DataFrame, name_parts: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], Lists]:
-    """(weights, lists). At most ``rows`` documents, those with the smallest hashed id, come to the driver."""
+class Model(NamedTuple):
+    """``words``: (word, near) of the corpus where they are too many for ``lists`` to hold them all."""
+
+    weights: dict[str, float]
+    lists: Lists
+    words: DataFrame | None
+
+
+def train(documents: DataFrame, name_parts: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """At most ``rows`` documents, those with the smallest hashed id, come to the driver; words are counted over all."""
     parts = [(r["name_part"].lower(), r["part_kind"]) for r in name_parts.where("name_part is not null").select("name_part", "part_kind").distinct().limit(200_000).collect()]
     given, family = {p for p, k in parts if k == "given"}, {p for p, k in parts if k == "family"}
     pages = documents.where("text is not null and text != ''").select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"))
     # a threshold on the hash first, so that not every task sends ``rows`` texts
     share = min(1.0, 1.3 * rows / max(1, pages.count()))
     sample = pages.where(F.col("h") <= min(int(share * 2**63), 2**63 - 1)).orderBy("h", "doc_id").select("text").limit(rows).collect()
-    return fit([r["text"] for r in sample], given, family)
-
-
-def entities(documents: DataFrame, model: tuple[dict[str, float], Lists]) -> DataFrame:
-    """(doc_id, text, found: array of (kind, start, end)) of every document with text, positions in code points."""
-    weights, lists = model
-
-    @F.pandas_udf("array<struct<kind string, start int, end int>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    texts = [r["text"] for r in sample]
+    words = corpus_words(pages, given | family)
+    many = words.limit(MAX_WORDS + 1).count() > MAX_WORDS
+    known = words
+    if many:
+        asked = sorted({w for t in texts for w in asked_words(t, given, family)})
+        known = words.join(documents.sparkSession.createDataFrame([(w,) for w in asked], "word string"), "word", "left_semi")
+    near = {r["word"]: r["near"] for r in known.collect()}
+    weights, lists = fit(texts, given, family, near=near)
+    return Model(weights, lists._replace(near={}) if many else lists, words if many else None)
+
+
+def entities(documents: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text, found: array of (kind, start, end)) of every document with text, positions in code points. Each page
+    is given the words it asks for by a join where the model doesn't hold them all."""
+    weights, lists, words = model
+    pages = documents.where("text is not null and text != ''").select("doc_id", "text")
+
+    def read(text: str, lists: Lists) -> list[dict]:
+        return [{"kind": s.kind, "start": s.start, "end": s.end} for s in best(segments(text, lists), weights)]
+
+    if words is None:
+
+        @F.pandas_udf("array<struct<kind string, start int, end int>>")
+        def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([read(t, lists) for t in texts], dtype=object)
+
+        return pages.select("doc_id", "text", find("text").alias("found"))
+
+    @F.pandas_udf("array<string>")
+    def asked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[{"kind": s.kind, "start": s.start, "end": s.end} for s in best(segments(t, lists), weights)] for t in texts], dtype=object)
+            yield pd.Series([asked_words(t, lists.given, lists.family) for t in texts], dtype=object)
 
-    return documents.where("text is not null and text != ''").select("doc_id", "text", find("text").alias("found"))
+    @F.pandas_udf("array<struct<kind string, start int, end int>>")
+    def find_with(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, near, far in batches:
+            own = [dict.fromkeys([] if n is None else n, True) | dict.fromkeys([] if f is None else f, False) for n, f in zip(near, far)]
+            yield pd.Series([read(t, lists._replace(near=o)) for t, o in zip(texts, own)], dtype=object)
+
+    known = pages.select("doc_id", F.explode(asked("text")).alias("word")).distinct().join(words, "word")
+    known = known.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.when(F.col("near"), F.col("word"))).alias("yes"), F.collect_list(F.when(~F.col("near"), F.col("word"))).alias("no"))
+    return pages.join(known, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", find_with("text", "yes", "no").alias("found"))
 
 
 def found_texts(documents: DataFrame, model) -> DataFrame:
