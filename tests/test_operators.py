@@ -241,3 +241,15 @@ def test_stratified(spark):
     got = {r["year"]: r["n"] for r in sampling.stratified(rows, "grp", "year", "id", 20).groupBy("year").agg(F.count("*").alias("n")).collect()}
     assert got[1] == 2 and got[4] == 3 and sum(got.values()) == 20 and abs(got[2] - got[3]) <= 1
     assert sampling.stratified(rows, "grp", "year", "id", 1000).count() == 105
+
+
+def test_components_of_long_chains_in_no_order(spark):
+    import random
+
+    from veclore.operators.graph import connected_components
+
+    ids = list(range(1000, 1800))
+    random.Random(1).shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(5, 5), (7, 6), (6, 7), (None, 1)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 1000 for i in ids} | {5: 5, 6: 6, 7: 6}

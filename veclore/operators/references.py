@@ -10,6 +10,7 @@ Defined cases: a NULL key is no reference; a row without a time cannot have its
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -61,7 +62,7 @@ def direct_orphans(reference: Reference) -> DataFrame:
     return out.select(F.lit(reference.table).alias("ref_table"), F.lit(reference.field).alias("ref_field"), "row_key", "at", "ref_key")
 
 
-def orphan_cascade(references: list[Reference], max_rounds: int = 50) -> DataFrame:
+def orphan_cascade(references: list[Reference]) -> DataFrame:
     """Direct orphans (depth 0) and rows that inherit it: a key is dead when every row that carries it is an orphan, and
     a row whose met reference names a dead key becomes an orphan one round later, until a round adds none.
 
@@ -73,7 +74,7 @@ def orphan_cascade(references: list[Reference], max_rounds: int = 50) -> DataFra
         part = direct_orphans(r).select("ref_table", "ref_field", "row_key", "at", F.lit(0).alias("depth"))
         found = part if found is None else found.unionByName(part)
     found = written(found, "orphans")
-    for depth in range(1, max_rounds):
+    for depth in itertools.count(1):
         added = None
         for r in references:
             dead_rows = found.where(F.col("ref_table") == r.target_table).select(F.col("row_key").alias("dead_row")).distinct()
