@@ -217,11 +217,12 @@ SELECT n, c00, c01, c10, c11, round((c00 + c11) / n, 6) accuracy, round(f, 6) ma
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table as a stream. It is copied to a folder of its own first: file streams read folders."""
+    """The events table as a stream. It is copied to a folder of its own first: file streams read folders. All its files are
+    one batch: they are in no order of time, and between batches the watermark would drop rows."""
     path = place(spark, "events")
     e = table(spark, folder, "events")
     e.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
-    return jobs.stream(spark, path, spark.read.parquet(path).schema, 100)
+    return jobs.stream(spark, path, spark.read.parquet(path).schema, None)
 
 
 def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:

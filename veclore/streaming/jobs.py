@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """New parquet files under ``path`` as they come."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream(spark, path: str, schema, files_per_trigger: int | None = 1) -> DataFrame:
+    """New parquet files under ``path`` as they come; None: all that are there in one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def deduplicated(rows: DataFrame, key: Column, at: str, lateness: str) -> DataFrame:
