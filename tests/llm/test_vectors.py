@@ -139,3 +139,16 @@ def test_clusters_of_nothing(spark):
 
 def test_described_clusters(spark, data):
     assert set(plans_vectors.p3_clusters(spark, data).columns) >= {"cluster_id", "members", "typical_1", "clade"}
+
+
+def test_every_label_of_a_cluster_counts(spark, monkeypatch):
+    at = "2024-01-01 00:00:00"
+    cache = spark.createDataFrame([(i, "fixed", [1.0 + i / 1000] * 64, "H1N1", f"EPI_ISL_{i}", at) for i in range(1, 7)], "id bigint, cache_name string, embeddings array<float>, types string, epi_isl string, loaded_at string")
+    labels = [(1, "A"), (1, "Z"), (2, "B"), (2, "Z"), (3, "Z"), (3, "Z"), (4, "B"), (5, None)]
+    meta = spark.createDataFrame([(f"EPI_ISL_{i}", None, c, at) for i, c in labels], "epi_isl string, isolate_id string, clade string, loaded_at string")
+    tables = {"embedding_cache": cache.withColumn("loaded_at", F.col("loaded_at").cast("timestamp")), "clade_metadata": meta}
+    monkeypatch.setattr(plans_vectors, "table", lambda spark, folder, name: tables[name])
+    r = plans_vectors.p3_clusters(spark, "").collect()
+    assert len(r) == 1 and r[0]["members"] == 6 and r[0]["clades"] == 3 and r[0]["labelled"] == 4
+    votes = [(v["clade"].upper(), v["votes"]) for v in r[0]["clade_votes"]]
+    assert votes == [("Z", 3), ("B", 2), ("A", 1)] and r[0]["clade"].upper() == "Z"

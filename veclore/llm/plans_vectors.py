@@ -37,7 +37,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Each cluster of at least 5: its size and cells, the three members nearest to the middle of its densest cell, and its commonest label."""
+    """Each cluster of at least 5: its size and cells, the three members nearest to the middle of its densest cell, its commonest label and all its labels with the members that carry each."""
     rows = written(vectors(spark, folder).select("id", "embeddings", accession(F.col("epi_isl")).alias("epi")), "vectors")
     members, cells = clusters(rows.select("id", "embeddings"))
     members = written(members.where("n >= 5"), "members")
@@ -49,9 +49,12 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("off", "id"))
     typical = inner.withColumn("rank", rank).where("rank <= 3").groupBy("cluster_id").agg(*(F.max(F.when(F.col("rank") == i, F.col("id"))).alias(f"typical_{i}") for i in (1, 2, 3)))
     meta = table(spark, folder, "clade_metadata").select(accession(F.coalesce(F.nullif(F.trim("epi_isl"), F.lit("")), "isolate_id")).alias("epi"), label_key(F.col("clade")).alias("clade"))
-    meta = meta.where("epi is not null and clade is not null").groupBy("epi").agg(F.min("clade").alias("clade"))
-    named = members.select("id", "cluster_id").join(rows.select("id", "epi"), "id").join(meta, "epi").groupBy("cluster_id", "clade").agg(F.count("*").alias("votes"))
-    top = named.groupBy("cluster_id").agg(F.min_by("clade", F.struct(-F.col("votes"), "clade")).alias("clade"), F.count("*").alias("clades"), F.sum("votes").alias("labelled"))
+    meta = meta.where("epi is not null and clade is not null").distinct()
+    named = written(members.select("id", "cluster_id").join(rows.select("id", "epi"), "id").join(meta, "epi").select("cluster_id", "id", "clade"), "named")
+    votes = named.groupBy("cluster_id", "clade").agg(F.count("*").alias("votes"))
+    found = F.sort_array(F.collect_list(F.struct(-F.col("votes"), "clade")))
+    top = votes.groupBy("cluster_id").agg(F.min_by("clade", F.struct(-F.col("votes"), "clade")).alias("clade"), F.count("*").alias("clades"), F.transform(found, lambda v: F.struct(v["clade"].alias("clade"), (-v["col1"]).alias("votes"))).alias("clade_votes"))
+    top = top.join(named.groupBy("cluster_id").agg(F.countDistinct("id").alias("labelled")), "cluster_id")
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("members"))
     return sizes.join(densest.select("cluster_id", "cells"), "cluster_id").join(typical, "cluster_id").join(top, "cluster_id", "left")
 
