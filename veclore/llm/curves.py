@@ -1,13 +1,17 @@
 """Nearest vectors by shifted space-filling curves (problem 2).
 
 Each of several curves turns, projects and shifts the vectors differently and orders them by a Hilbert key. Spark range
-partitions and sorts every ordering; a query looks at the rows up to ``window`` places before and after its own place in
-each ordering, and the best of all windows are merged by true distance. Rows at the ends of a partition are handed over
-to the pair of neighbouring partitions, so windows cross partition borders.
+partitions and sorts every ordering; a query looks at the rows up to ``reach`` places before and after its own place in
+each ordering. Reach grows with the square root of the type's rows, so that recall holds from thousands to millions of
+rows. The windows of all orderings are merged by a distance between short codes, and the best of them, fetched by id, are
+ranked by the true distance.
 
-The only model, the projections, is drawn from a seed. Each projected axis is scaled by its quantiles per type, taken over
-all rows, so the key's bits go where the rows are and vectors of any length take one end cell each. Nothing is pruned by a
-sample.
+A row stands on a curve with its key, its id and a code of one byte per dimension: the half cell between two quantiles of that
+dimension. Quantiles are taken per type over all rows (``OWN_CUTS`` largest types; the others share theirs), so both the
+key's and the code's cells are narrow where the rows are, and vectors of any length take one end cell each. A row that lies
+far outside of them brings its whole vector instead of a code. Nothing is pruned by a sample; the projections are drawn from a seed.
+
+Windows cross the borders of partitions: the ends of every partition are handed to as many neighbours as a window spans.
 
 Recall against brute force is measured in the tests and in the README; ``curves`` and ``window`` are its knobs. Defined
 cases: rows with a NULL id, group or vector are no rows here; identical vectors are neighbours at distance 0, and stand
@@ -23,15 +27,21 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from veclore.runtime import broadcast_if_small, written
 
-#: Curve dimensions and bits for each: two words of 60 bits make a key, so that rows of one coarse step stay ordered.
-DIMS, BITS, FINE = 4, 15, 30
-#: Cuts of an axis at most, and of all types together.
-CUTS, ALL_CUTS = 256, 100_000
-ROWS_PER_PARTITION = 40_000
+#: Curve dimensions, and bits of each in a key; bits of a word of the key.
+DIMS, BITS, WORD = 8, 20, 5
+#: Cuts of an axis, and of a dimension (a byte tells half cells apart); types with cuts of their own.
+CUTS, DIM_CUTS, OWN_CUTS = 255, 127, 24
+#: Reach of a window: so many times the square root of the type's rows.
+GROWTH = 4.5
+#: Rows of a partition: at least so many, and at least so many times the longest reach.
+ROWS_PER_PARTITION, REACHES_PER_PARTITION = 40_000, 20
+#: Candidates of a query, as multiples of k: from one window, and of all windows together.
+PER_WINDOW, MERGED = 4, 6
 
 
 def projections(size: int, curves: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +53,7 @@ def projections(size: int, curves: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return turn, rng.uniform(0.0, 0.3, (curves, DIMS))
 
 
-def hilbert_words(q: np.ndarray, bits: int = FINE, word: int = BITS) -> list[np.ndarray]:
+def hilbert_words(q: np.ndarray, bits: int = BITS, word: int = WORD) -> list[np.ndarray]:
     """Place on the Hilbert curve of integer points ``q`` (n, dims), each coordinate under ``2**bits``: words of ``word``
     bits of every coordinate, the highest first.
 
@@ -74,92 +84,161 @@ def hilbert_words(q: np.ndarray, bits: int = FINE, word: int = BITS) -> list[np.
     return words
 
 
-def hilbert_key(q: np.ndarray, bits: int = BITS) -> np.ndarray:
+def hilbert_key(q: np.ndarray, bits: int) -> np.ndarray:
     """The place as one word."""
     return hilbert_words(q, bits, bits)[0]
 
 
+def hilbert_bytes(q: np.ndarray) -> list[bytes]:
+    """The place as bytes that sort as the curve runs."""
+    size = DIMS * WORD // 8
+    words = [w.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :] for w in hilbert_words(q)]
+    return [r.tobytes() for r in np.hstack(words)]
+
+
 def ranked(y: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Place of each value among the ascending ``cuts``, in [0, 1): every cell between two cuts gets the same share and is
     straight inside. The two end cells have no far end: there the place nears 0 or 1 as the value goes out, so one far value
     takes nothing from the others."""
-    m, eighth = len(cuts), -(-len(cuts) // 8)
+    m, (left, right) = len(cuts), margins(cuts)
     cell = np.searchsorted(cuts, y, side="right")
     low, high = cuts[np.clip(cell - 1, 0, m - 1)], cuts[np.clip(cell, 0, m - 1)]
-    whole = (cuts[-1] - cuts[0]) or 1.0
-    left, right = (cuts[min(eighth, m - 1)] - cuts[0]) or whole, (cuts[-1] - cuts[max(m - 1 - eighth, 0)]) or whole
     inner = (y - low) / np.where(high > low, high - low, 1.0)
     below, above = np.maximum(cuts[0] - y, 0.0), np.maximum(y - cuts[-1], 0.0)
     t = np.where(cell == 0, left / (below + left), np.where(cell == m, above / (above + right), inner))
     return (cell + np.minimum(t, 1.0 - 1e-12)) / (m + 1)
 
 
-def _nearest(vectors: np.ndarray, ids: np.ndarray, asking: list[int], among: list[tuple[int, int]], k: int) -> list[tuple[int, int, float]]:
-    out = []
-    for at, (low, high) in zip(asking, among):
-        d = np.sqrt(((vectors[low:high].astype(np.float64) - vectors[at].astype(np.float64)) ** 2).sum(axis=1))
-        near = ids[low:high]
-        d[near == ids[at]] = np.inf
-        bound = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-        keep = np.flatnonzero((d <= bound) & np.isfinite(d))
-        best = keep[np.lexsort((near[keep], d[keep]))][:k]
-        out.extend((int(ids[at]), int(near[i]), float(d[i])) for i in best)
+def margins(cuts: np.ndarray) -> tuple[float, float]:
+    """How wide the outer eighths of the cuts are; of all cuts, or 1, where these are 0."""
+    m, eighth = len(cuts), -(-len(cuts) // 8)
+    whole = (cuts[-1] - cuts[0]) or 1.0
+    return (cuts[min(eighth, m - 1)] - cuts[0]) or whole, (cuts[-1] - cuts[max(m - 1 - eighth, 0)]) or whole
+
+
+def cells(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, values) of one dimension's cells: between two cuts, and as far outside as the outer eighths are wide. A cell has
+    two halves with a value each. In a cell much wider than its neighbour, a gap between dense stretches, the value is near
+    the neighbour: that is where the rows are."""
+    left, right = margins(cuts)
+    edges = np.concatenate([[cuts[0] - left], cuts, [cuts[-1] + right]])
+    wide = np.diff(edges)
+    before, after = np.concatenate([wide[:1], wide[:-1]]), np.concatenate([wide[1:], wide[-1:]])
+    low, high = edges[:-1] + np.minimum(wide / 4, before), edges[1:] - np.minimum(wide / 4, after)
+    return edges, np.stack([low, high], axis=1).ravel()
+
+
+def coded(x: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """A byte per dimension, the value's half cell (see ``cells``); the vector itself, four bytes per dimension, where a value
+    lies outside of all cells."""
+    code, far = np.empty(x.shape, np.uint8), np.zeros(len(x), bool)
+    for d, c in enumerate(cuts):
+        edges, _ = cells(c)
+        at = np.searchsorted(c, x[:, d], side="right")
+        code[:, d] = 2 * at + (x[:, d] > (edges[at] + edges[at + 1]) / 2)
+        far |= (x[:, d] < edges[0]) | (x[:, d] > edges[-1])
+    return [r.tobytes() if f else c.tobytes() for f, r, c in zip(far, x, code)]
+
+
+def decoded(codes: pd.Series, cuts: np.ndarray | None, size: int) -> np.ndarray:
+    """Vectors of the cells' values."""
+    whole = np.fromiter((len(c) != size for c in codes), bool, len(codes))
+    out = np.empty((len(codes), size), np.float32)
+    if whole.any():
+        out[whole] = np.frombuffer(b"".join(codes[whole]), np.float32).reshape(-1, size)
+    if not whole.all():
+        value = np.stack([cells(c)[1] for c in cuts])
+        out[~whole] = value[np.arange(size), np.frombuffer(b"".join(codes[~whole]), np.uint8).reshape(-1, size)]
     return out
 
 
-def _segments(curve: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero((curve[1:] != curve[:-1]) | (group[1:] != group[:-1])) + 1
-    ends = [0, *cut.tolist(), len(curve)]
+def _near(v: np.ndarray, ids: np.ndarray, at: int, low: int, high: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, squared distances, places away) of the ``most`` rows of [low, high) nearest to row ``at``; ties to the nearer place."""
+    off = v[low:high] - v[at]
+    d = np.einsum("ij,ij->i", off, off) if np.abs(v[at]).max() < 1e15 else (off.astype(np.float64) ** 2).sum(axis=1)
+    d = d.astype(np.float64)
+    if low <= at < high:
+        d[at - low] = np.inf
+    keep = np.flatnonzero(d <= np.partition(d, most - 1)[most - 1]) if len(d) > most else np.arange(len(d))
+    if low <= at < high:
+        keep = keep[keep != at - low]
+    gap = np.abs(keep + low - at)
+    keep = keep[np.lexsort((gap, d[keep]))[:most]]
+    return ids[low + keep], d[keep], np.abs(keep + low - at)
+
+
+def _segments(p: pd.DataFrame) -> list[tuple[int, int]]:
+    """Runs of one curve and type."""
+    curve, kind = p.curve.to_numpy(), p.types.to_numpy()
+    cut = np.flatnonzero((curve[1:] != curve[:-1]) | (kind[1:] != kind[:-1])) + 1
+    ends = [0, *cut.tolist(), len(p)]
     return list(zip(ends[:-1], ends[1:]))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
+class Cuts:
+    """What the tasks know of each type: cuts of the projected axes and of the dimensions, and the reach of a window.
+    Types without are smaller than a window: they need no order."""
 
+    def __init__(self, window: int):
+        self.window, self.axes, self.dims, self.reaches, self.shared = window, {}, {}, {}, set()
 
-def axis_cuts(held: DataFrame, turn: np.ndarray, window: int) -> tuple[dict[str, np.ndarray], int]:
-    """({types: cuts of its axes (axes, cuts)}, rows): quantiles over all rows, combined before the shuffle. Types whose rows
-    fit into a window need no order and have no cuts; of very many types each has fewer."""
-    sizes = held.groupBy("types").agg(F.count("*").alias("n"))
-    whole = sizes.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > window).alias("large")).first()
-    if not whole["large"]:
-        return {}, whole["rows"] or 0
-    number, flat = max(16, min(CUTS, ALL_CUTS // whole["large"])), np.concatenate(list(turn), axis=1)
-    axes = [f"y{i}" for i in range(flat.shape[1])]
+    def name(self, kind: str) -> str | None:
+        return kind if kind in self.axes else "" if kind in self.shared else None
 
-    def projected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                y = np.stack(b.embeddings.to_numpy()).astype(np.float64) @ flat
-                yield pd.DataFrame(y, columns=axes).assign(types=b.types.to_numpy())[["types", *axes]]
+    def reach(self, kind: str) -> int:
+        return self.reaches.get(kind, self.window)
 
-    shares = F.array(*(F.lit(i / number) for i in range(1, number)))
-    y = held.select("types", "embeddings").mapInPandas(projected, "types string, " + ", ".join(f"{a} double" for a in axes))
-    found = y.groupBy("types").agg(F.count("*").alias("n"), *(F.percentile_approx(a, shares, 10_000).alias(a) for a in axes)).where(F.col("n") > window)
-    return {r["types"]: np.array([r[a] for a in axes]) for r in found.toLocalIterator()}, whole["rows"]
 
+def fitted(held: DataFrame, turn: np.ndarray, window: int, size: int) -> tuple[Cuts, int]:
+    """(Cuts, rows): quantiles over all rows, combined before the shuffle. The driver gets the sizes of types with more rows
+    than a window, and the cuts of each axis and dimension for at most ``OWN_CUTS`` + 1 of them."""
+    sizes = held.groupBy("types").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("rows")).first()["rows"] or 0
+    large = [(r["types"], r["n"]) for r in sizes.where(F.col("n") > window).orderBy(F.desc("n"), "types").toLocalIterator()]
+    out = Cuts(window)
+    if not large:
+        return out, total
+    out.reaches = {kind: max(window, int(GROWTH * n**0.5)) for kind, n in large}
+    own, out.shared = [kind for kind, _ in large[:OWN_CUTS]], {kind for kind, _ in large[OWN_CUTS:]}
+    flat = np.concatenate(list(turn), axis=1)
+    names = [f"y{i}" for i in range(flat.shape[1] + size)]
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b.embeddings.to_numpy()).astype(np.float64)
+                yield pd.DataFrame(np.hstack([x @ flat, x]), columns=names).assign(types=b.types.to_numpy())[["types", *names]]
 
-_FOUND = "id bigint, neighbor_id bigint, distance double"
+    shares = lambda n: F.array(*(F.lit(i / (n + 1)) for i in range(1, n + 1)))
+    kind = F.when(F.col("types").isin(own), F.col("types")).otherwise("").alias("types")
+    rows = held.where(F.col("types").isin([k for k, _ in large])) if len(large) <= 1000 else held
+    y = rows.select(kind, "embeddings").mapInPandas(measured, "types string, " + ", ".join(f"{a} double" for a in names))
+    axes, dims = names[: flat.shape[1]], names[flat.shape[1] :]
+    found = y.groupBy("types").agg(*(F.percentile_approx(a, shares(CUTS if a in axes else DIM_CUTS), 5_000).alias(a) for a in names))
+    for r in found.toLocalIterator():
+        out.axes[r["types"]], out.dims[r["types"]] = np.array([r[a] for a in axes]), np.array([r[a] for a in dims])
+    return out, total
 
 
 def copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Identical vectors of a type as one row each: (id, types, embeddings, asks) with the smallest id; (rep, id) of its
-    smallest k + 1 ids, where it has more than one; (id, rep) of every row that asks. Counts are combined and places cut
-    before the shuffle, so a group of any size is bounded."""
+    smallest k + 1 ids, where it has more than one; (id, rep) of every row that asks. Vectors are told apart by 128 bits of
+    hash, so that only narrow rows are grouped. Counts are combined and places cut before the shuffle: a group of any size is bounded."""
     plain = F.transform("embeddings", lambda x: x + F.lit(0.0).cast("float"))  # -0.0 is 0.0
     rows = rows.where("id is not null and types is not null and embeddings is not null").select("id", "types", plain.alias("embeddings"), F.coalesce("asks", F.lit(False)).alias("asks"))
-    rows = written(rows.withColumn("same", F.xxhash64("types", "embeddings")), "rows")
-    key = ["same", "types", "embeddings"]
-    groups = written(rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.bool_or("asks").alias("asks")), "groups")
-    several = broadcast_if_small(groups.where("n > 1").select(*key, "rep"), 50_000)
-    members = written(rows.join(several, key).select("rep", "id", "asks"), "members")
+    rows = written(rows.withColumn("h1", F.xxhash64("embeddings")).withColumn("h2", F.xxhash64(F.lit(1), "embeddings")), "rows")
+    key = ["types", "h1", "h2"]
+    several = rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.bool_or("asks").alias("any")).where("n > 1")
+    members = written(rows.select("id", *key, "asks").join(several, key).select("rep", "id", "asks", "any"), "members")
+    fate = broadcast_if_small(members.select("id", (F.col("rep") == F.col("id")).alias("leads"), "any"), 1_000_000)
+    held = rows.join(fate, "id", "left").where(F.coalesce("leads", F.lit(True))).select("id", "types", "embeddings", F.coalesce("any", "asks").alias("asks"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
     smallest = members.select("rep", "id").withColumn("place", place).where(F.col("place") <= k + 1).select("rep", "id")
-    asking = groups.where("asks and n = 1").select(F.col("rep").alias("id"), "rep").unionByName(members.where("asks").select("id", "rep"))
-    return groups.select(F.col("rep").alias("id"), "types", "embeddings", "asks"), written(smallest, "copies"), asking
+    alone = rows.where("asks").select("id").join(members.select("id"), "id", "left_anti").select("id", F.col("id").alias("rep"))
+    return held, written(smallest, "copies"), alone.unionByName(members.where("asks").select("id", "rep"))
 
 
-def nearest(rows: DataFrame, k: int = 10, curves: int = 5, window: int = 400, seed: int = 7, size: int = 64) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 10, curves: int = 4, window: int = 400, seed: int = 7, size: int = 64) -> DataFrame:
     """(id, neighbor_id, distance, rank) for every row of ``rows`` (id, types, embeddings, asks) with ``asks`` true,
     among the other rows of the same ``types``.
 
@@ -178,74 +257,134 @@ def nearest(rows: DataFrame, k: int = 10, curves: int = 5, window: int = 400, se
     return each.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+@F.pandas_udf(T.DoubleType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    return pd.Series(np.sqrt(((np.stack(a.to_numpy()).astype(np.float64) - np.stack(b.to_numpy()).astype(np.float64)) ** 2).sum(axis=1)))
+
+
+_FOUND = "id bigint, neighbor_id bigint, distance double, gap int"
+
+
 def _distinct_nearest(held: DataFrame, k: int, curves: int, window: int, seed: int, size: int) -> DataFrame:
     """``nearest`` among distinct vectors."""
     turn, shift = projections(size, curves, seed)
-    cuts, count = axis_cuts(held, turn, window)
-    parts = max(2, -(-count * curves // ROWS_PER_PARTITION))
+    cuts, count = fitted(held, turn, window, size)
+    longest = max([window, *cuts.reaches.values()])
+    parts = max(2, -(-count * curves // max(ROWS_PER_PARTITION, REACHES_PER_PARTITION * longest if cuts.axes else 0)))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             x = np.stack(b.embeddings.to_numpy()).astype(np.float32)
-            raw = [r.tobytes() for r in x]
-            kinds = {kind: np.asarray(at) for kind, at in b.groupby("types").indices.items() if kind in cuts}
+            code, keys = np.empty(len(b), object), np.empty((curves, len(b)), object)
+            for kind, at in b.groupby("types").indices.items():
+                name = cuts.name(kind)
+                if name is None:
+                    code[at], keys[:, at] = [r.tobytes() for r in x[at]], b""
+                    continue
+                code[at] = coded(x[at], cuts.dims[name])
+                for c in range(curves):
+                    y = x[at].astype(np.float64) @ turn[c]
+                    u = np.stack([ranked(y[:, d], cuts.axes[name][c * DIMS + d]) for d in range(DIMS)], axis=1)
+                    keys[c, at] = hilbert_bytes(np.minimum((u + shift[c]) * (1 << BITS) / 1.3, (1 << BITS) - 1).astype(np.uint64))
+            small = pd.Series([cuts.name(t) is None for t in b.types], index=b.index)
             for c in range(curves):
-                y, u = x.astype(np.float64) @ turn[c], np.zeros((len(b), DIMS))
-                for kind, at in kinds.items():
-                    for d in range(DIMS):
-                        u[at, d] = ranked(y[at, d], cuts[kind][c * DIMS + d])
-                q = np.minimum((u + shift[c]) * (1 << FINE) / 1.3, (1 << FINE) - 1).astype(np.uint64)
-                key, fine = hilbert_words(q)
-                yield pd.DataFrame({"curve": np.int32(c), "types": b.types, "key": key, "fine": fine, "id": b.id, "asks": b.asks, "vector": raw})
-
-    schema = "curve int, types string, key bigint, fine bigint, id bigint, asks boolean, vector binary"
-    order = ["curve", "types", "key", "fine", "id"]
-    placed = held.mapInPandas(keyed, schema).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                out = pd.DataFrame({"curve": np.int32(c), "types": b.types, "key": keys[c], "id": b.id, "asks": b.asks, "code": code})
+                yield out if c == 0 else out[~small]  # one order is enough where a window holds all
+
+    order = ["curve", "types", "key", "id"]
+    placed = held.mapInPandas(keyed, "curve int, types string, key binary, id bigint, asks boolean, code binary").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ends_of = "part int, pos int, n int, curve int, types string, id bigint, asks boolean, code binary"
+    schema = f"asked bigint, neighbor_id bigint, distance double, gap int, {ends_of}"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def answers(found: list) -> pd.DataFrame:
+        asked, near, d, gap = (np.concatenate([f[i] for f in found]) for i in range(4))
+        return pd.DataFrame({"asked": asked, "neighbor_id": near, "distance": d, "gap": gap.astype(np.int32)})
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Answers from inside the partition, and the rows at its two ends for the pairs of neighbouring partitions."""
-        held = [b for b in batches if len(b)]
-        if not held:
+        """Answers from inside the partition, and the rows at its two ends."""
+        got = [b for b in batches if len(b)]
+        if not got:
             return
-        p = pd.concat(held, ignore_index=True)
-        me = TaskContext.get().partitionId()
-        v, ids, asks = _matrix(p.vector), p.id.to_numpy(), p.asks.to_numpy()
-        found = []
-        for low, high in _segments(p.curve.to_numpy(), p.types.to_numpy()):
-            at = (np.flatnonzero(asks[low:high]) + low).tolist()
-            found += _nearest(v, ids, at, [(max(low, i - window), min(high, i + window + 1)) for i in at], k)
+        p = pd.concat(got, ignore_index=True)
+        ids, asks, found = p.id.to_numpy(), p.asks.to_numpy(), []
+        for low, high in _segments(p):
+            kind = p.types.iloc[low]
+            name, reach = cuts.name(kind), cuts.reach(kind)
+            at = np.flatnonzero(asks[low:high])
+            if not len(at):
+                continue
+            v, near = decoded(p.code.iloc[low:high], None if name is None else cuts.dims[name], size), ids[low:high]
+            for i in at.tolist():
+                n, d, gap = _near(v, near, i, max(0, i - reach), min(high - low, i + reach + 1), PER_WINDOW * k)
+                found.append((np.full(len(n), near[i]), n, d, gap))
         if found:
-            yield pd.DataFrame(found, columns=["id", "neighbor_id", "distance"]).assign(border=-1)
-        for border, end in ((me - 1, p.head(window)), (me, p.tail(window))):
-            yield end.assign(border=border, side=int(border != me))
-
-    columns = "border int, side int, neighbor_id bigint, distance double, curve int, types string, key bigint, fine bigint, id bigint, asks boolean, vector binary"
-    names = [c.split()[0] for c in columns.split(", ")]
+            yield _padded(answers(found), names)
+        pos = np.arange(len(p), dtype=np.int32)
+        end = (pos < longest) | (pos >= len(p) - longest)
+        yield _padded(p[end].drop(columns="key").assign(part=np.int32(TaskContext.get().partitionId()), pos=pos[end], n=np.int32(len(p))), names)
 
-    def padded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in windows(batches):
-            missing = {c: pd.Series([None] * len(out), index=out.index, dtype=object) for c in names if c not in out}
-            yield out.assign(**missing)[names]
-
-    first = written(placed.mapInPandas(padded, columns), "curves")
+    first = written(placed.mapInPandas(windows, schema), "curves")
+    ends = first.where("part is not null").select(*(c.split()[0] for c in ends_of.split(", ")))
+    rows_of = {r["part"]: r["n"] for r in ends.groupBy("part").agg(F.max("n").alias("n")).toLocalIterator()}  # one number per partition
+    spread = held.sparkSession.createDataFrame(border_parts(rows_of, longest), "border int, part int, side int, at int, low int, high int")
 
     def across(p: pd.DataFrame) -> pd.DataFrame:
-        """One border: at most ``window`` rows from either side of it."""
-        p = p.sort_values(["curve", "types", "side", "key", "fine", "id"]).reset_index(drop=True)
-        v, ids, asks, side = _matrix(p.vector), p.id.to_numpy(), p.asks.to_numpy(), p.side.to_numpy()
-        found = []
-        for low, high in _segments(p.curve.to_numpy(), p.types.to_numpy()):
-            edge = low + int((side[low:high] == 0).sum())  # the rows before the border come first
-            for i in (np.flatnonzero(asks[low:high]) + low).tolist():
-                among = (edge, min(high, i + window + 1)) if i < edge else (max(low, i - window), edge)
-                if among[0] < among[1]:
-                    found += _nearest(np.concatenate([v[among[0] : among[1]], v[i : i + 1]]), np.append(ids[among[0] : among[1]], ids[i]), [among[1] - among[0]], [(0, among[1] - among[0])], k)
-        return pd.DataFrame(found, columns=["id", "neighbor_id", "distance"])
-
-    ends = first.where("border >= 0").select("border", "side", *order, "asks", "vector")
-    answers = first.where("distance is not null").select("id", "neighbor_id", "distance").unionByName(ends.groupBy("border").applyInPandas(across, _FOUND))
-    best = answers.groupBy("id", "neighbor_id").agg(F.min("distance").alias("distance"))
+        """One border: at most ``longest`` rows from either side of it."""
+        p = p.sort_values(["side", "at", "pos"]).reset_index(drop=True)
+        ids, asks, side, found = p.id.to_numpy(), p.asks.to_numpy(), p.side.to_numpy(), []
+        for low, high in _segments(p):
+            kind, edge = p.types.iloc[low], int((side[low:high] == 0).sum())  # the rows before the border come first
+            at = np.flatnonzero(asks[low:high])
+            if not len(at) or edge in (0, high - low):
+                continue
+            name, reach = cuts.name(kind), cuts.reach(kind)
+            v, near = decoded(p.code.iloc[low:high], None if name is None else cuts.dims[name], size), ids[low:high]
+            for i in at.tolist():
+                a, z = (edge, min(high - low, i + reach + 1)) if i < edge else (max(0, i - reach), edge)
+                if a < z:
+                    n, d, gap = _near(v, near, i, a, z, PER_WINDOW * k)
+                    found.append((np.full(len(n), near[i]), n, d, gap))
+        return answers(found).rename(columns={"asked": "id"}) if found else pd.DataFrame(columns=["id", "neighbor_id", "distance", "gap"])
+
+    borders = ends.join(F.broadcast(spread), "part").where("pos between low and high").drop("part", "n", "low", "high")
+    inside = first.where("asked is not null").select(F.col("asked").alias("id"), "neighbor_id", "distance", "gap")
+    merged = inside.unionByName(borders.groupBy("border").applyInPandas(across, _FOUND))
+    merged = merged.groupBy("id", "neighbor_id").agg(F.min(F.struct("distance", "gap")).alias("d"))
+    few = F.row_number().over(Window.partitionBy("id").orderBy("d", "neighbor_id"))
+    pairs = written(merged.withColumn("place", few).where(F.col("place") <= MERGED * k).select("id", "neighbor_id"), "pairs")
+    wanted = broadcast_if_small(pairs.select("id").union(pairs.select("neighbor_id")).distinct(), 1_000_000)
+    exact = held.select("id", "embeddings").join(wanted, "id", "left_semi")
+    near = pairs.join(exact.select(F.col("id").alias("neighbor_id"), F.col("embeddings").alias("b")), "neighbor_id").join(exact.withColumnRenamed("embeddings", "a"), "id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.select("id", "neighbor_id", _distance("a", "b").alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _padded(out: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    return out.assign(**{c: pd.Series([None] * len(out), index=out.index, dtype=object) for c in names if c not in out})[names]
+
+
+def border_parts(rows_of: dict[int, int], reach: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(border, part, side, at, low, high): which rows of which partitions, counted from 0, lie within ``reach`` of the border
+    behind each partition; ``at`` puts the partitions of a side in order."""
+    held, out = sorted(p for p, n in rows_of.items() if n), []
+    for i, border in enumerate(held[:-1]):
+        left = reach
+        for j in range(i, -1, -1):
+            n = rows_of[held[j]]
+            out.append((border, held[j], 0, j, max(0, n - left), n - 1))
+            left -= n
+            if left <= 0:
+                break
+        left = reach
+        for j in range(i + 1, len(held)):
+            n = rows_of[held[j]]
+            out.append((border, held[j], 1, j, 0, min(n, left) - 1))
+            left -= n
+            if left <= 0:
+                break
+    return out
