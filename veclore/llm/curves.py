@@ -7,9 +7,9 @@ rows. The windows of all orderings are merged by a distance between short codes,
 ranked by the true distance.
 
 A row stands on a curve with its key, its id and a code of one byte per dimension: the half cell between two quantiles of that
-dimension. Quantiles are taken per type over all rows (``OWN_CUTS`` largest types; the others share theirs), so both the
-key's and the code's cells are narrow where the rows are, and vectors of any length take one end cell each. A row that lies
-far outside of them brings its whole vector instead of a code. Nothing is pruned by a sample; the projections are drawn from a seed.
+dimension. Quantiles are taken per type (``OWN_CUTS`` largest types; the others share theirs) from at most about ``FIT_ROWS`` of its
+rows, so both the key's and the code's cells are narrow where the rows are, and vectors of any length take one end cell each.
+A row that lies far outside of them brings its whole vector instead of a code. Every row is indexed; the projections are drawn from a seed.
 
 Windows cross the borders of partitions: the ends of every partition are handed to as many neighbours as a window spans.
 
@@ -36,6 +36,8 @@ from veclore.runtime import broadcast_if_small, written
 DIMS, BITS, WORD = 8, 20, 5
 #: Cuts of an axis, and of a dimension (a byte tells half cells apart); types with cuts of their own.
 CUTS, DIM_CUTS, OWN_CUTS = 255, 127, 24
+#: Rows of a type that its cuts are fitted on; all rows are indexed.
+FIT_ROWS = 10_000
 #: Reach of a window: so many times the square root of the type's rows.
 GROWTH = 4.5
 #: Rows of a partition: at least so many, and at least so many times the longest reach.
@@ -180,43 +182,43 @@ class Cuts:
     Types without are smaller than a window: they need no order."""
 
     def __init__(self, window: int):
-        self.window, self.axes, self.dims, self.reaches, self.shared = window, {}, {}, {}, set()
+        self.window, self.axes, self.dims, self.reaches, self.shared = window, {}, {}, {}, {}
 
     def name(self, kind: str) -> str | None:
-        return kind if kind in self.axes else "" if kind in self.shared else None
+        return kind if kind in self.axes else "" if kind in self.shared and "" in self.axes else None
 
     def reach(self, kind: str) -> int:
         return self.reaches.get(kind, self.window)
 
 
 def fitted(held: DataFrame, turn: np.ndarray, window: int, size: int) -> tuple[Cuts, int]:
-    """(Cuts, rows): quantiles over all rows, combined before the shuffle. The driver gets the sizes of types with more rows
-    than a window, and the cuts of each axis and dimension for at most ``OWN_CUTS`` + 1 of them."""
-    sizes = held.groupBy("types").agg(F.count("*").alias("n"))
+    """(Cuts, rows): quantiles of about ``FIT_ROWS`` rows of each type, those with the smallest hashed ids; one task sorts the
+    sample of one type. The driver gets the sizes of types with more rows than a window, and the cuts of each axis and
+    dimension for at most ``OWN_CUTS`` + 1 of them."""
+    sizes = written(held.groupBy("types").agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.sum("n").alias("rows")).first()["rows"] or 0
     large = [(r["types"], r["n"]) for r in sizes.where(F.col("n") > window).orderBy(F.desc("n"), "types").toLocalIterator()]
     out = Cuts(window)
     if not large:
         return out, total
     out.reaches = {kind: max(window, int(GROWTH * n**0.5)) for kind, n in large}
-    own, out.shared = [kind for kind, _ in large[:OWN_CUTS]], {kind for kind, _ in large[OWN_CUTS:]}
+    own, out.shared = dict(large[:OWN_CUTS]), dict(large[OWN_CUTS:])
     flat = np.concatenate(list(turn), axis=1)
-    names = [f"y{i}" for i in range(flat.shape[1] + size)]
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.stack(b.embeddings.to_numpy()).astype(np.float64)
-                yield pd.DataFrame(np.hstack([x @ flat, x]), columns=names).assign(types=b.types.to_numpy())[["types", *names]]
-
-    shares = lambda n: F.array(*(F.lit(i / (n + 1)) for i in range(1, n + 1)))
-    kind = F.when(F.col("types").isin(own), F.col("types")).otherwise("").alias("types")
-    rows = held.where(F.col("types").isin([k for k, _ in large])) if len(large) <= 1000 else held
-    y = rows.select(kind, "embeddings").mapInPandas(measured, "types string, " + ", ".join(f"{a} double" for a in names))
-    axes, dims = names[: flat.shape[1]], names[flat.shape[1] :]
-    found = y.groupBy("types").agg(*(F.percentile_approx(a, shares(CUTS if a in axes else DIM_CUTS), 5_000).alias(a) for a in names))
-    for r in found.toLocalIterator():
-        out.axes[r["types"]], out.dims[r["types"]] = np.array([r[a] for a in axes]), np.array([r[a] for a in dims])
+    def quantiles(p: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(p.embeddings.to_numpy()).astype(np.float64)
+        axes = np.quantile(x @ flat, np.arange(1, CUTS + 1) / (CUTS + 1), axis=0).T
+        dims = np.quantile(x, np.arange(1, DIM_CUTS + 1) / (DIM_CUTS + 1), axis=0).T
+        return pd.DataFrame({"types": [p.types.iloc[0]], "axes": [axes.tobytes()], "dims": [dims.tobytes()]})
+
+    share = F.create_map(*(F.lit(v) for kind, n in own.items() for v in (kind, FIT_ROWS / n)))
+    rest = F.lit(FIT_ROWS / max(1, sum(out.shared.values())))
+    drawn = F.shiftrightunsigned(F.xxhash64("id"), 1) < F.coalesce(share[F.col("types")], rest) * float(2**63)
+    sample = held.where(drawn).select(F.when(F.col("types").isin(list(own)), F.col("types")).otherwise("").alias("types"), "embeddings")
+    for r in sample.groupBy("types").applyInPandas(quantiles, "types string, axes binary, dims binary").toLocalIterator():
+        out.axes[r["types"]] = np.frombuffer(r["axes"]).reshape(-1, CUTS)
+        out.dims[r["types"]] = np.frombuffer(r["dims"]).reshape(size, DIM_CUTS)
+    # a type of which the sample has nothing keeps whole vectors and an order by id
     return out, total
 
 
