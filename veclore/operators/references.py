@@ -10,6 +10,7 @@ Defined cases: a NULL key is no reference; a row without a time cannot have its
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass
 
@@ -66,28 +67,42 @@ def orphan_cascade(references: list[Reference]) -> DataFrame:
     """Direct orphans (depth 0) and rows that inherit it: a key is dead when every row that carries it is an orphan, and
     a row whose met reference names a dead key becomes an orphan one round later, until a round adds none.
 
-    Returns (ref_table, ref_field, row_key, at, depth). A table may refer to itself. Each round is a semi-join per
-    reference against the dead keys; a written table ends its lineage.
+    Returns (ref_table, ref_field, row_key, at, depth). A table may refer to itself. The narrow rows of every reference are
+    written once, and only references to tables that have references of their own can pass orphans on: of these each round
+    joins the keys that the last round's orphans carry. A written table ends a round's lineage.
     """
-    found = None
-    for r in references:
-        part = direct_orphans(r).select("ref_table", "ref_field", "row_key", "at", F.lit(0).alias("depth"))
-        found = part if found is None else found.unionByName(part)
-    found = written(found, "orphans")
+    held = [Reference(r.table, r.field, _narrow(r.rows), r.target_table, r.targets) for r in references]
+    found = written(_union([direct_orphans(r).select("ref_table", "ref_field", "row_key", "at", F.lit(0).alias("depth")) for r in held]), "orphans")
+    owners = {r.table for r in held}
+    passing = [(r, _carriers(r)) for r in held if r.target_table in owners]
+    if not passing:
+        return found
+    last = found
     for depth in itertools.count(1):
-        added = None
-        for r in references:
-            dead_rows = found.where(F.col("ref_table") == r.target_table).select(F.col("row_key").alias("dead_row")).distinct()
-            carriers = r.targets.where(F.col("target_key").isNotNull()).select("target_key", "row_key").distinct()
-            marked = carriers.join(dead_rows, carriers.row_key == dead_rows.dead_row, "left")
-            dead = marked.groupBy("target_key").agg(F.bool_and(F.col("dead_row").isNotNull()).alias("dead")).where("dead")
+        parts = []
+        for r, carriers in passing:
+            # keys that a new orphan carries, and of which no carrier is left that isn't one
+            fresh = last.where(F.col("ref_table") == r.target_table).select("row_key").distinct()
+            asked = carriers.join(fresh, "row_key", "left_semi").select("target_key").distinct()
+            dead_rows = found.where(F.col("ref_table") == r.target_table).select("row_key").distinct()
+            alive = carriers.join(asked, "target_key", "left_semi").join(dead_rows, "row_key", "left_anti").select("target_key")
+            dead = asked.join(alive, "target_key", "left_anti")
             known = found.where((F.col("ref_table") == r.table) & (F.col("ref_field") == r.field)).select("row_key").distinct()
-            rows = r.rows.where(F.col("ref_key").isNotNull()).select("row_key", "ref_key", "at").distinct()
-            rows = rows.join(dead, rows.ref_key == dead.target_key, "left_semi").join(known, "row_key", "left_anti")
-            part = rows.select(F.lit(r.table).alias("ref_table"), F.lit(r.field).alias("ref_field"), "row_key", "at", F.lit(depth).alias("depth"))
-            added = part if added is None else added.unionByName(part)
-        added = written(added, "orphans")
-        if added.isEmpty():
-            break
-        found = found.unionByName(added)
-    return found
+            rows = r.rows.join(dead, r.rows.ref_key == dead.target_key, "left_semi").join(known, "row_key", "left_anti")
+            parts.append(rows.select(F.lit(r.table).alias("ref_table"), F.lit(r.field).alias("ref_field"), "row_key", "at", F.lit(depth).alias("depth")))
+        last = written(_union(parts), "orphans")
+        if last.isEmpty():
+            return found
+        found = found.unionByName(last)
+
+
+def _narrow(rows: DataFrame) -> DataFrame:
+    return written(rows.where(F.col("ref_key").isNotNull()).select("row_key", "ref_key", "at").distinct(), "references")
+
+
+def _carriers(r: Reference) -> DataFrame:
+    return written(r.targets.where(F.col("target_key").isNotNull()).select("target_key", "row_key").distinct(), "carriers")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
