@@ -26,9 +26,11 @@ def session(app: str = "veclore", master: str | None = None, **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset and all runs on one machine a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-veclore-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -53,6 +55,15 @@ def discard(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting: beyond ``max_rows`` the frame is returned as it is and the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes of a broadcast at most, as Spark's rows hold them.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting rows and bytes: beyond either bound the frame is returned as it is and the join
+    shuffles."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    sizes = [F.coalesce(F.octet_length(c if df.schema[c].dataType.typeName() in ("string", "binary") else F.to_json(F.struct(c))), F.lit(0)) for c in wide]
+    each = sum(sizes, F.lit(16 + 8 * len(df.columns)))
+    seen = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(each).alias("bytes")).first()
+    return F.broadcast(df) if seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes else df
