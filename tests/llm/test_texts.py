@@ -53,6 +53,12 @@ def test_against_brute_force(spark):
     assert set(got) == brute(pages, items) and got[902, 91] == 12
 
 
+def test_a_page_that_repeats_a_word_of_an_item(spark):
+    """Its hits meet the item's parts only: the work grows with the page, not with its square."""
+    pages = [(1, "same " * 60_000), (2, "same other " * 20_000), (3, "same " * 11)]
+    assert found(spark, pages, [(7, "same " * 30), (8, "other same " * 6)]) == {(1, 7): 30, (2, 8): 12}
+
+
 def test_nothing(spark):
     assert found(spark, [(1, "a")], []) == {} and found(spark, [], [(1, "a")]) == {}
 

@@ -99,11 +99,15 @@ def leaks(pages: DataFrame, items: DataFrame, window: int = WINDOW, size: int =
     )
     anchors = broadcast_if_small(written(anchors, "anchors"), 2_000_000)
 
-    diagonal = (F.col("pos") - F.col("anchor")).alias("diagonal")
-    candidates = hits.join(anchors, "shingle").where(F.col("pos") - F.col("anchor") + F.col("start") >= 0).select("doc_id", "version", "item_id", "item_version", diagonal).distinct()
+    # a page position and an item position make a diagonal; hits meet an item's parts on the shingle, never each other, so
+    # that a page that repeats a word costs its hits times the item's repeats of it
     line = ["doc_id", "version", "item_id", "item_version", "diagonal"]
-    aligned = candidates.join(hits, ["doc_id", "version"]).select(*line, "shingle", (F.col("pos") - F.col("diagonal")).alias("pos")).where("pos >= 0")
-    agree = aligned.join(broadcast_if_small(parts.withColumnRenamed("version", "item_version"), 2_000_000), ["item_id", "item_version", "pos", "shingle"], "left_semi").distinct()
+    found = hits.join(anchors, "shingle").where(F.col("pos") - F.col("anchor") + F.col("start") >= 0)
+    candidates = written(found.select("doc_id", "version", "item_id", "item_version", (F.col("pos") - F.col("anchor")).alias("diagonal")).distinct(), "candidates")
+    pages = broadcast_if_small(candidates.select("doc_id", "version").distinct(), 1_000_000)
+    items = broadcast_if_small(parts.select("item_id", F.col("version").alias("item_version"), F.col("pos").alias("at"), "shingle"), 2_000_000)
+    aligned = hits.join(pages, ["doc_id", "version"], "left_semi").join(items, "shingle").select("doc_id", "version", "item_id", "item_version", (F.col("pos") - F.col("at")).alias("diagonal"), F.col("at").alias("pos"))
+    agree = aligned.join(candidates, line, "left_semi").distinct()
     along = Window.partitionBy(*line).orderBy("pos")
     runs = agree.withColumn("run", F.col("pos") - F.row_number().over(along)).groupBy(*line, "run").agg(F.count("*").alias("n"))
     return runs.where(F.col("n") >= per_window).groupBy("doc_id", "item_id").agg((F.max("n") + size - 1).cast("int").alias("words"))
