@@ -2,11 +2,16 @@ import random
 
 from pyspark.sql import functions as F
 
-from veclore.llm import partenum
+from tests.parity import assert_same
+from veclore.llm import partenum, plans_records
 
 SCHEMA = "key bigint, first_text string, second_text string"
 
 
+def test_parity(spark, data):
+    assert_same(spark, data, plans_records.p5_found, plans_records.ORACLES["p5_found"])
+
+
 def mutated(rng, s, edits):
     s = list(s)
     for _ in range(edits):
@@ -59,12 +64,16 @@ def test_against_brute_force(spark):
     assert all(group[k][1] == links[k] for k in group)
 
 
-def test_unpacked_path_is_the_same(spark, monkeypatch):
-    rows = fixture()[:40]
-    frame = spark.createDataFrame(rows, SCHEMA)
-    one = {(r["a"], r["b"]) for r in partenum.all_pairs(*partenum.similar(frame)).collect()}
-    monkeypatch.setattr(partenum, "ASKED", 0)
-    assert {(r["a"], r["b"]) for r in partenum.all_pairs(*partenum.similar(frame)).collect()} == one
+def test_bands_meet(spark):
+    """Any two sizes within the threshold share a band."""
+    import numpy as np
+
+    n = np.unique(np.concatenate([np.arange(1, 3000), 16 * 8 ** np.arange(6) + np.arange(-2, 3)[:, None]], axis=None))
+    for threshold in (0.6, 0.8, 0.05):
+        band, upper = partenum.bands(n, threshold)
+        for i, m in enumerate(n):
+            near = (n >= m) & (m >= threshold * n)
+            assert all(b == band[i] or (upper[i] and b == band[i] + 1) for b in band[near])
 
 
 def test_nothing(spark):

@@ -3,9 +3,10 @@
 A record is the set of its distinct k-letter substrings. The feature domain is partitioned by hash into ``PARTS`` parts;
 the smallest hash a set has in each part represents it, so every record becomes a set of the same size, and two records
 agree on a part with a probability equal to their similarity. The parts are put into groups of ``SPAN``, and every
-subset that leaves one part of a group out is a signature. Two records that disagree on fewer than two parts of some group
+subset that leaves one part of a group out is a signature, together with the record's size band: bands are ``FACTOR`` times
+as wide as the last, and a record near the upper end of its band belongs to the next one too. Two records that disagree on fewer than two parts of some group
 share one: surely so if at most ``2 * PARTS / SPAN - 1`` parts differ, and with 99.8 % at a similarity of 0.6, over
-99.99 % from 0.65 on (the measured recall is in the README). Records that share a signature are filtered by all their
+99.99 % from 0.65 on (the measured recall is in the README). Records that share a signature are filtered by their sizes and all their
 parts (two bits each) and then decided exactly on their whole substring sets.
 
 Records with the same text are one while pairs are sought. Signatures are joined, never collected into groups, so that
@@ -35,8 +36,10 @@ from veclore.runtime import written
 PARTS, SPAN = 144, 6
 #: Records hashed at once in a task: a few million letters.
 SLICE = 256
-#: Keys that are broadcast at most: 8 bytes each.
-ASKED = 1_000_000
+#: Size bands: sets of up to ``FIRST`` substrings, then ``FACTOR`` times as many per band.
+FIRST, FACTOR = 16, 8
+#: Signatures of one task of their join.
+TASK_SIGNATURES = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,12 +87,20 @@ def parts(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return (_mix(low.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def signatures(sketch: np.ndarray) -> np.ndarray:
-    """(n, PARTS): per group and part, the hash of the group's other parts."""
+def bands(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(band of each set size, whether the set belongs to the next band too). Similar sets differ in size by the threshold at
+    most, so the larger of two that fall into different bands finds the smaller one at the upper end of its band."""
+    factor = max(FACTOR, 2 / threshold)
+    band = np.maximum(np.ceil(np.log(np.maximum(n, 1) / FIRST) / np.log(factor)), 0).astype(np.int64)
+    return band, n >= threshold * FIRST * factor**band * (1 - 1e-9)
+
+
+def signatures(sketch: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """(n, PARTS): per group and part, the hash of the band and the group's other parts."""
     at = np.arange(PARTS, dtype=np.uint64)
     each = _mix((sketch.astype(np.uint64) + np.uint64(1)) * _ODD + at * np.uint64(0xD6E8FEB86659FD93))
     whole = each.reshape(len(sketch), -1, SPAN).sum(axis=2, dtype=np.uint64).repeat(SPAN, axis=1)
-    return _mix(whole - each + at * _ODD).view(np.int64)
+    return _mix(whole - each + at * _ODD + band.astype(np.uint64)[:, None] * np.uint64(0xA24BAED4963EE407)).view(np.int64)
 
 
 def _two_bits(sketch: np.ndarray) -> list[bytes]:
@@ -140,7 +151,7 @@ def _shared(k: int):
 
         def kmers(packed: bytes) -> np.ndarray:
             if packed not in kept:
-                if len(kept) > 1000:
+                if len(kept) > 4000:  # 25 kB each, of records as long as these
                     kept.clear()
                 kept[packed] = np.unique(kmer_hashes(zlib.decompress(packed).decode("utf-8", "surrogatepass").split("|"), k)[1])
             return kept[packed]
@@ -168,21 +179,26 @@ def similar(records: DataFrame, threshold: float = 0.6, k: int = 16) -> tuple[Da
     keys = sk.groupBy("key").agg(F.max(F.struct("n", "text", "uid")).alias("r")).select("key", "r.text", "r.uid")
     reps = keys.groupBy("text").agg(F.min(F.struct("key", "uid")).alias("r")).select("text", F.col("r.key").alias("rep"), F.col("r.uid").alias("uid"))
     members = written(keys.select("key", "text").join(reps, "text").select("key", "rep", "uid"), "members")
-    lead = written(sk.join(members.where("key = rep").select("uid"), "uid", "left_semi").select("key", "sketch", "bits"), "lead")
+    lead = written(sk.join(members.where("key = rep").select("uid"), "uid", "left_semi").select("key", "n", "sketch", "bits"), "lead")
     members = members.select("key", "rep")
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in range(0, len(b), 2000):
                 p = b.iloc[s : s + 2000]
-                sig = signatures(np.frombuffer(b"".join(p.sketch), np.uint16).reshape(len(p), PARTS))
-                yield pd.DataFrame({"key": p.key.to_numpy(), "signature": list(sig)})
-
-    sig = lead.select("key", "sketch").mapInPandas(signed, "key bigint, signature array<bigint>").select("key", F.explode("signature").alias("signature"))
+                sk, key = np.frombuffer(b"".join(p.sketch), np.uint16).reshape(len(p), PARTS), p.key.to_numpy()
+                band, upper = bands(p.n.to_numpy(), threshold)
+                yield pd.DataFrame({"key": key, "signature": list(signatures(sk, band))})
+                if upper.any():
+                    yield pd.DataFrame({"key": key[upper], "signature": list(signatures(sk[upper], band[upper] + 1))})
+
+    sig = lead.select("key", "n", "sketch").mapInPandas(signed, "key bigint, signature array<bigint>").select("key", F.explode("signature").alias("signature"))
+    sig = sig.repartition(max(8, -(-lead.count() * PARTS // TASK_SIGNATURES)), "signature")  # tasks keep their size as records grow
     one, two = sig.select(F.col("key").alias("a"), "signature"), sig.select(F.col("key").alias("b"), "signature")
     candidates = one.join(two, "signature").where("a < b").groupBy("a", "b").agg(F.count("*").alias("signatures")).select("a", "b")
     for side in ("a", "b"):
-        candidates = candidates.join(lead.select(F.col("key").alias(side), F.col("bits").alias(f"bits_{side}")), side)
+        candidates = candidates.join(lead.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    candidates = candidates.where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9)
     candidates = written(candidates.where(_alike(threshold)("bits_a", "bits_b")).select("a", "b"), "candidates")
 
     @F.pandas_udf("binary")
@@ -190,11 +206,8 @@ def similar(records: DataFrame, threshold: float = 0.6, k: int = 16) -> tuple[Da
         return pd.Series([zlib.compress(f"{clean(a)}|{clean(b)}".encode("utf-8", "surrogatepass"), 1) for a, b in zip(first, second)], dtype=object)
 
     asked = written(candidates.select(F.col("a").alias("key")).union(candidates.select("b")).distinct(), "asked")
-    whole = records.select("key", "first_text", "second_text")
-    if asked.count() <= ASKED:  # a broadcast of at most so many keys; beyond it the texts are packed before they move
-        texts = whole.join(F.broadcast(asked), "key", "left_semi").select("key", packed("first_text", "second_text").alias("packed"))
-    else:
-        texts = whole.select("key", packed("first_text", "second_text").alias("packed")).join(asked, "key", "left_semi")
+    # not deterministic for the optimizer, which would else move the texts first and pack them afterwards
+    texts = records.select("key", packed.asNondeterministic()("first_text", "second_text").alias("packed")).join(asked, "key", "left_semi")
     texts = texts.groupBy("key").agg(F.max_by("packed", F.length("packed")).alias("packed"))
     pairs = candidates
     for side in ("a", "b"):

@@ -23,4 +23,11 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
-ORACLES: dict[str, str] = {}
+P5_FOUND_SQL = r"""
+WITH r AS (SELECT try_cast(nullif(regexp_extract(regexp_replace(epi_isl, '\s+', '', 'g'), '(\d+)$', 1), '') AS BIGINT) k, upper(regexp_replace(coalesce(ha_sequence, ''), '[\s-]+', '', 'g')) a, upper(regexp_replace(coalesce(na_sequence, ''), '[\s-]+', '', 'g')) b FROM records),
+one AS (SELECT k, max(a) a, max(b) b FROM r WHERE k IS NOT NULL GROUP BY 1),
+s AS (SELECT k, hash(x) h FROM (SELECT k, unnest(list_transform(range(1, len(a) - 14), lambda i: substr(a, i, 16))) x FROM one UNION SELECT k, unnest(list_transform(range(1, len(b) - 14), lambda i: substr(b, i, 16))) FROM one)),
+n AS (SELECT k, count(*) n FROM s GROUP BY 1),
+p AS (SELECT x.k a, y.k b, count(*) c FROM s x JOIN s y ON x.h = y.h AND x.k < y.k GROUP BY 1, 2)
+SELECT a epi_a, b epi_b FROM p JOIN n u ON u.k = a JOIN n v ON v.k = b WHERE c >= 0.6 * (u.n + v.n - c)"""
+ORACLES = {"p5_found": P5_FOUND_SQL}
