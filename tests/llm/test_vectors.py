@@ -132,6 +132,21 @@ def test_clusters_against_brute_force(spark, monkeypatch, block, chunk):
     assert sum(sizes.values()) == len(x) and cells.agg(F.sum("n")).first()[0] == len(x)
 
 
+def test_far_values_and_full_places(spark, monkeypatch):
+    """Values up to 1e30, and more cells in a place than a block holds."""
+    monkeypatch.setattr(clusters, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-5, 5, size=(900, 3)) @ np.linalg.qr(rng.normal(size=(8, 3)))[0].T
+    far = np.zeros((6, 8))
+    far[:, 0] = [1e30, 1e30, 1e12, 1e12, -1e12, 1e30]
+    far[:, 1] = [0.1, 0.2, 0.1, 0.3, 0.0, 5.0]
+    x = np.concatenate([x, far]).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, embeddings array<float>")
+    got = {(r["id"], r["cluster_id"]) for r in clusters.clusters(frame, radius=0.8, size=8)[0].collect()}
+    assert got == set(enumerate(components(x.astype(np.float64), 0.8)))
+    assert len({c for _, c in got}) > 10
+
+
 def test_clusters_of_nothing(spark):
     members, cells = clusters.clusters(spark.createDataFrame([], "id bigint, embeddings array<float>"), size=8)
     assert members.count() == 0 and cells.count() == 0

@@ -13,6 +13,10 @@ from veclore.runtime import written
 from veclore.tables import accession, current_rows, known_type, label_key, table, usable
 
 
+#: Members from which on a cell counts as dense.
+DENSE = 3
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """id, types and embeddings of the current rows with a usable vector."""
     rows = current_rows(table(spark, folder, "embedding_cache"), "id", "types", "embeddings", "epi_isl", "loaded_at")
@@ -37,14 +41,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Each cluster of at least 5: its size and cells, the three members nearest to the middle of its densest cell, its commonest label and all its labels with the members that carry each."""
+    """Each cluster of at least 5: its size and cells, those that are dense and the members in them, the three members nearest to the middle of its densest cell, its commonest label and all its labels with the members that carry each."""
     rows = written(vectors(spark, folder).select("id", "embeddings", accession(F.col("epi_isl")).alias("epi")), "vectors")
     members, cells = clusters(rows.select("id", "embeddings"))
     members = written(members.where("n >= 5"), "members")
-    densest = cells.groupBy("cluster_id").agg(F.max_by(F.struct("cell", "low", "high"), F.struct("n", -F.col("cell"))).alias("d"), F.count("*").alias("cells"))
+    densest = cells.groupBy("cluster_id").agg(F.max_by(F.struct("cell", "low", "high"), F.struct("n", -F.col("cell"))).alias("d"), F.count("*").alias("cells"), F.count_if(F.col("n") >= DENSE).alias("dense_cells"), F.sum(F.when(F.col("n") >= DENSE, F.col("n")).otherwise(0)).alias("in_dense"))
     middle = F.zip_with("d.low", "d.high", lambda a, b: (a + b) / 2)
     off = F.aggregate(F.zip_with("x", "middle", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
-    densest = densest.where(F.col("d").isNotNull()).select("cluster_id", F.col("d.cell").alias("cell"), middle.alias("middle"), "cells")
+    densest = densest.where(F.col("d").isNotNull()).select("cluster_id", F.col("d.cell").alias("cell"), middle.alias("middle"), "cells", "dense_cells", "in_dense")
     inner = members.join(densest, ["cluster_id", "cell"]).select("cluster_id", "id", off.alias("off"))
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("off", "id"))
     typical = inner.withColumn("rank", rank).where("rank <= 3").groupBy("cluster_id").agg(*(F.max(F.when(F.col("rank") == i, F.col("id"))).alias(f"typical_{i}") for i in (1, 2, 3)))
@@ -56,7 +60,7 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     top = votes.groupBy("cluster_id").agg(F.min_by("clade", F.struct(-F.col("votes"), "clade")).alias("clade"), F.count("*").alias("clades"), F.transform(found, lambda v: F.struct(v["clade"].alias("clade"), (-v["col1"]).alias("votes"))).alias("clade_votes"))
     top = top.join(named.groupBy("cluster_id").agg(F.countDistinct("id").alias("labelled")), "cluster_id")
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("members"))
-    return sizes.join(densest.select("cluster_id", "cells"), "cluster_id").join(typical, "cluster_id").join(top, "cluster_id", "left")
+    return sizes.join(densest.select("cluster_id", "cells", "dense_cells", "in_dense"), "cluster_id").join(typical, "cluster_id").join(top, "cluster_id", "left")
 
 
 QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p2_found": p2_found, "p2_neighbors": p2_neighbors}
