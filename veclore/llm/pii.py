@@ -7,7 +7,7 @@ the segments picks the best set that does not overlap: boundaries and kinds are
 their grammar, so the program is linear in the text.
 
 The weights are fitted by maximum likelihood (forward-backward over the same segments) on a sample of at most
-``TRAIN_ROWS`` documents, those with the smallest hashed ids. Their labels are silver: a segment with an unmistakable
+``TRAIN_ROWS`` documents, those with the smallest hashed ids, leaving out runs of more than ``ISLAND`` segments. Their labels are silver: a segment with an unmistakable
 label in front of it, or a name of which both parts are listed, is one; a segment behind a label of something else
 (invoice, order, version ...) is none; everything in between is left out of the likelihood. The name lists are hidden
 from half of the names while fitting, so that unlisted names are learned from form and context. Whether a word mostly
@@ -37,6 +37,10 @@ TRAIN_ROWS = 3000
 MAX_WORDS = 200_000
 #: Share of a word's places beside a listed name part from which on it counts as part of names.
 MOSTLY = 0.25
+#: Segments of a run that is fitted on: the sums over its sets grow with their square. Longer runs are decoded like all others.
+ISLAND = 60
+#: Listed name parts at most: the lists go to every task.
+MAX_PARTS = 1_000_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 NEAR = 3
 
@@ -56,6 +60,7 @@ _DOT = r"(?:\.|\s?\[\.\]\s?|\s?\(\.\)\s?|\s?\(dot\)\s?|\s?\[dot\]\s?|\sdot\s)"
 EMAIL = re.compile(
     rf"(?i)(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*(?:(?:\s?@\s?|\s?\[@\]\s?|\s?\(@\)\s?|\s?\(at\)\s?|\s?\[at\]\s?)(?:[a-z0-9-]+{_DOT})+[a-z]{{2,}}|\sat\s(?:[a-z0-9-]+(?:\sdot\s|\s?\[dot\]\s?|\s?\(dot\)\s?))+[a-z]{{2,}})(?![\w@])"
 )
+_MAIL = re.compile(r"(?i)@|[\[(]at[\])]|\bdot\b")  # every address has one of these
 DIGITS = re.compile(r"(?<![\w.,/+-])(?:\+\s?|\()?\d(?:[ .\-/()  ]{0,2}\d)+(?:-[A-Z])?(?![\w])")
 LETTERED = re.compile(r"(?<![\w-])[A-Z]{1,3}(?:[ -]?\d{2,}){1,5}(?:[ -][A-Z])?(?![\w-])")
 _TOWN = rf"(?:(?:Sankt|Saint|San|Bad|St\.?) )?{_CAP}(?:-{_CAP})*"
@@ -233,7 +238,7 @@ def _name_segments(text: str, lists: Lists, hide: random.Random | None) -> Itera
 def segments(text: str, lists: Lists, hide: random.Random | None = None) -> list[Segment]:
     """All candidate segments, by start."""
     out = []
-    for m in EMAIL.finditer(text):
+    for m in EMAIL.finditer(text) if _MAIL.search(text) else ():
         out.append(Segment(m.start(), m.end(), "email", _context(text, m.start(), m.end(), "email") + [f"email~{'@' in m[0]}", f"email.{m[0].count('.') > 0}"], True))
     out += _number_segments(text)
     out += _address_segments(text)
@@ -332,20 +337,42 @@ PRIOR = {"email": 2.0, "phone": -1.0, "id_number": -1.0, "address": 0.5, "name":
 _WORD = re.compile(rf"{_CAP}(?:-{_CAP})*")
 
 
+#: How far a word looks for its neighbours.
+_BESIDE = 32
+_BEFORE = re.compile(rf"(\S+),?\s(?:{_INITIAL}\s)?(?:{_PARTICLE})?$")
+_AFTER = re.compile(rf",?\s(?:{_INITIAL}\s)?(?:{_PARTICLE})?(\S+)")
+_TOKEN = re.compile(r"\S+")
+
+
+def _is_listed(token: str, listed: set[str]) -> bool:
+    token = token.strip(".,;:!?").lower()
+    return token in listed or token.split("-")[0] in listed
+
+
 def beside_counts(texts: Iterable[str], listed: set[str]) -> dict[str, list[int]]:
-    """For each capitalised word that is not listed: in how many places it stands, and in how many beside a listed name part."""
+    """For each capitalised word that is not listed: in how many places it stands, and in how many beside a listed name part.
+    Only words near a listed part are looked at closely."""
     counts: dict[str, list[int]] = {}
     for t in texts:
+        marks = bytearray(len(t) + 1)  # where a listed part is near
+        for m in _TOKEN.finditer(t):
+            if _is_listed(m[0], listed):
+                low, high = max(0, m.start() - _BESIDE - 1), min(len(t), m.end() + _BESIDE + 1)
+                marks[low:high] = b"\1" * (high - low)
         for m in _WORD.finditer(t):
-            before = re.search(rf"(\S+),?\s(?:{_INITIAL}\s)?(?:{_PARTICLE})?$", t[max(0, m.start() - 32) : m.start()])
-            after = re.match(rf",?\s(?:{_INITIAL}\s)?(?:{_PARTICLE})?(\S+)", t[m.end() : m.end() + 32])
-            if _THING_LAST.match(t[m.end() : m.end() + 14]):
+            start, end = m.span()
+            if _THING_LAST.match(t[end : end + 14]):
                 continue
-            sides = [x[1].strip(".,;:!?").lower() for x in (before, after) if x]
-            for w in {m[0].lower(), *m[0].lower().split("-")} - listed:
-                count = counts.setdefault(w, [0, 0])
-                count[0] += 1
-                count[1] += any(s in listed or s.split("-")[0] in listed for s in sides)
+            near = False
+            if marks[start] or marks[end]:
+                before, after = _BEFORE.search(t[max(0, start - _BESIDE) : start]), _AFTER.match(t[end : end + _BESIDE])
+                near = any(_is_listed(x[1], listed) for x in (before, after) if x)
+            word = m[0].lower()
+            for w in {word, *word.split("-")} if "-" in word else (word,):
+                if w not in listed:
+                    count = counts.setdefault(w, [0, 0])
+                    count[0] += 1
+                    count[1] += near
     return counts
 
 
@@ -404,7 +431,7 @@ def fit(texts: list[str], given: set[str], family: set[str], rounds: int = 6, ra
         for island in islands(segments(t, lists, hide)):
             gold = _gold(island)
             kept = [s for s in island if s.silver is not None or any(s.start < o.end and o.start < s.end for o in gold)]
-            if kept and len(kept) <= 60:
+            if kept and len(kept) <= ISLAND:
                 data.append((kept, gold))
     for _ in range(rounds):
         hide.shuffle(data)
@@ -437,8 +464,12 @@ class Model(NamedTuple):
 
 
 def train(documents: DataFrame, name_parts: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """At most ``rows`` documents, those with the smallest hashed id, come to the driver; words are counted over all."""
-    parts = [(r["name_part"].lower(), r["part_kind"]) for r in name_parts.where("name_part is not null").select("name_part", "part_kind").distinct().limit(200_000).collect()]
+    """At most ``rows`` documents, those with the smallest hashed id, come to the driver; words are counted over all. More than
+    ``MAX_PARTS`` name parts are an error."""
+    rows = name_parts.where("name_part is not null").select(F.lower("name_part").alias("part"), "part_kind").distinct().limit(MAX_PARTS + 1).collect()
+    if len(rows) > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} name parts")
+    parts = [(r["part"], r["part_kind"]) for r in rows]
     given, family = {p for p, k in parts if k == "given"}, {p for p, k in parts if k == "family"}
     pages = documents.where("text is not null and text != ''").select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"))
     # a threshold on the hash first, so that not every task sends ``rows`` texts
