@@ -41,9 +41,13 @@ def largest_remainder(wanted: list[float], seats: int) -> list[int]:
     return out
 
 
-def quotas(plan: pd.DataFrame) -> pd.DataFrame:
+def quotas(plan: pd.DataFrame, spill: bool = False) -> pd.DataFrame:
     """Quotas of one plan's cells. Cells whose share is under their minimum are raised to it and the others share what is
-    left; then each is capped by what is available, and the gap is reported instead of being moved to other cells."""
+    left; then each is capped by what is available, and the gap is reported; with ``spill`` it moves to the cells that have
+    more, in proportion to their shares.
+
+    Minima that exceed the sample are kept all the same, and the plan is marked as not ``feasible``. ``plan_rows`` is the
+    sample asked for, ``plan_quota`` the sample there will be."""
     plan = plan.sort_values(CELL[1:], na_position="first").reset_index(drop=True)
     share, least = plan.target_share.clip(lower=0), plan.min_rows.clip(lower=0)
     seats = round(float(plan.sample_rows.max() * min(1.0, share.sum())))
@@ -59,51 +63,70 @@ def quotas(plan: pd.DataFrame) -> pd.DataFrame:
         for i in low:
             quota[i], pinned[i] = int(least[i]), True
     plan["wanted"] = quota
-    plan["quota"] = [min(q, int(a)) for q, a in zip(quota, plan.available)]
+    given = [min(q, int(a)) for q, a in zip(quota, plan.available)]
+    while spill and sum(given) < seats:
+        open_cells = [i for i, (q, a) in enumerate(zip(given, plan.available)) if q < a and share[i] > 0]
+        more = largest_remainder([share[i] for i in open_cells], seats - sum(given))
+        if not any(more):
+            break
+        for i, m in zip(open_cells, more):
+            given[i] = min(given[i] + m, int(plan.available[i]))
+    plan["quota"] = given
+    plan["plan_rows"], plan["plan_quota"], plan["feasible"] = int(plan.sample_rows.max()), sum(given), bool(least.sum() <= seats)
     return plan
 
 
-def count_cells(rows: DataFrame, cells: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with their key and bucket, target cells, counts per cell and bucket)."""
-    keyed = rows.where(F.col("types").isNotNull() & F.col("years").isNotNull()).select("id", F.col("types").alias("kind"), "years")
-    keyed = keyed.withColumn("key", random_key(F.col("id"), seed)).withColumn("bucket", F.shiftright("key", 63 - BUCKET_BITS).cast("int"))
+def target_cells(cells: DataFrame) -> DataFrame:
+    """The distinct targets, with one name for each."""
     targets = cells.select(
         *CELL, F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("min_rows", F.lit(0)).cast("bigint").alias("min_rows"), F.coalesce("sample_rows", F.lit(0)).cast("bigint").alias("sample_rows"), "kind"
     ).distinct()
-    targets = targets.withColumn("cell", F.to_json(F.struct(*targets.columns)))
-    counts = keyed.groupBy("kind", "years", "bucket").agg(F.count("*").alias("n"))
-    by_cell = targets.join(counts, "kind").where(_within()).groupBy("cell", "bucket").agg(F.sum("n").alias("n"))
-    return keyed, targets, by_cell
+    return targets.withColumn("cell", F.to_json(F.struct(*targets.columns)))
+
+
+def keyed_rows(rows: DataFrame, seed: int) -> DataFrame:
+    """(id, kind, years, key, bucket) of the rows that belong to a category and a value."""
+    keyed = rows.where(F.col("types").isNotNull() & F.col("years").isNotNull()).select("id", F.col("types").alias("kind"), "years")
+    return keyed.withColumn("key", random_key(F.col("id"), seed)).withColumn("bucket", F.shiftright("key", 63 - BUCKET_BITS).cast("int"))
+
+
+def count_cells(keyed: DataFrame, targets: DataFrame, buckets: bool) -> DataFrame:
+    """(cell, n), or (cell, bucket, n): rows are counted per category and value first, whatever the number of targets."""
+    by = ["bucket"] if buckets else []
+    counts = keyed.groupBy("kind", "years", *by).agg(F.count("*").alias("n"))
+    return targets.join(counts, "kind").where(_within()).groupBy("cell", *by).agg(F.sum("n").alias("n"))
 
 
 def _within() -> Column:
     return F.coalesce(F.col("years") >= F.col("year_from"), F.lit(True)) & F.coalesce(F.col("years") <= F.col("year_to"), F.lit(True))
 
 
-def sample_report(rows: DataFrame, cells: DataFrame, seed: int = 0) -> DataFrame:
-    """One row per cell: what the target asks for, what is available, the quota, and how much is missing.
+def sample_report(rows: DataFrame, cells: DataFrame, seed: int = 0, spill: bool = False) -> DataFrame:
+    """One row per cell: what the target asks for, what is available, the quota, how much is missing, and what became of its plan.
 
     ``rows``: id, types, years. ``cells``: plan_id, types, year_from, year_to, target_share, min_rows, sample_rows, and
-    ``kind``, the category in the form ``rows.types`` has.
+    ``kind``, the category in the form ``rows.types`` has. Buckets are not needed here: a category is counted by value.
     """
-    return _report(*count_cells(rows, cells, seed)[1:])
+    targets = target_cells(cells)
+    return _report(targets, count_cells(keyed_rows(rows, seed), targets, False), spill)
 
 
-def _report(targets: DataFrame, by_cell: DataFrame) -> DataFrame:
+def _report(targets: DataFrame, by_cell: DataFrame, spill: bool) -> DataFrame:
     available = by_cell.groupBy("cell").agg(F.sum("n").alias("available"))
     full = targets.join(available, "cell", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.schema.fields)
     # one group per plan: as many rows as the plan has target cells, whatever the data's size
-    allotted = full.groupBy("plan_id").applyInPandas(quotas, f"{names}, wanted bigint, quota bigint")
+    allotted = full.groupBy("plan_id").applyInPandas(lambda plan: quotas(plan, spill), f"{names}, wanted bigint, quota bigint, plan_rows bigint, plan_quota bigint, feasible boolean")
     need = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.col("sample_rows"))
+    allotted = allotted.withColumn("actual_share", F.col("quota") / F.nullif(F.col("plan_quota"), F.lit(0)))
     return allotted.withColumn("needed", need).withColumn("short", F.greatest(need - F.col("available"), F.lit(0.0)))
 
 
-def proportional_sample(rows: DataFrame, cells: DataFrame, seed: int = 0) -> DataFrame:
+def proportional_sample(rows: DataFrame, cells: DataFrame, seed: int = 0, spill: bool = False) -> DataFrame:
     """(plan_id, types, year_from, year_to, id): per cell the quota's smallest random keys."""
-    keyed, targets, by_cell = count_cells(rows, cells, seed)
-    by_cell = written(by_cell, "cells")
-    report = _report(targets, by_cell).where("quota > 0").select(*CELL, "kind", "cell", "quota")
+    keyed, targets = written(keyed_rows(rows, seed), "rows"), target_cells(cells)
+    by_cell = written(count_cells(keyed, targets, True), "cells")
+    report = _report(targets, by_cell, spill).where("quota > 0").select(*CELL, "kind", "cell", "quota")
     upto = Window.partitionBy("cell").orderBy("bucket")
     running = by_cell.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
     edge = running.join(report, "cell").where("before < quota and quota <= upto").select(*CELL, "kind", "cell", F.col("bucket").alias("edge"), (F.col("quota") - F.col("before")).alias("rest"))
