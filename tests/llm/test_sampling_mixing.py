@@ -30,6 +30,36 @@ def test_quotas_keep_minimum_and_cap():
     assert got.wanted.sum() == 100 and got.wanted[2] == 5 and got.quota[0] == 50 and got.quota[2] == 5
 
 
+def test_infeasible_minima_and_spill():
+    plan = pd.DataFrame({"plan_id": 1, "types": list("abc"), "year_from": 0, "year_to": 9, "target_share": [0.2, 0.3, 0.5], "min_rows": [50, 60, 70], "sample_rows": 100, "available": [500, 500, 500]})
+    got = sampling.quotas(plan)
+    assert got.quota.tolist() == [50, 60, 70] and not got.feasible.any() and (got.plan_quota == 180).all() and (got.plan_rows == 100).all()
+    plan["min_rows"], plan["available"] = 0, [500, 10, 20]
+    short, spilt = sampling.quotas(plan), sampling.quotas(plan, spill=True)
+    assert short.quota.tolist() == [20, 10, 20] and short.feasible.all() and (short.plan_quota == 50).all()
+    assert spilt.quota.tolist() == [70, 10, 20] and (spilt.plan_quota == 100).all()
+
+
+def test_mix_of_public_tokens(spark, data):
+    """Against a plain walk through the documents in the order of their keys."""
+    sizes = plans_corpus._sizes(spark, data, plans_corpus.VOCABULARY)
+    docs = defaultdict(list)
+    for r in sizes.collect():
+        docs[r["src"]].append((r["key"], r["tokens"]))
+    bits = 63 - mixing.LEVEL_BITS * mixing.LEVELS
+    for r in mixing.mix_report(sizes, spark.read.parquet(f"{data}/mix_targets.parquet")).collect():
+        held = sorted(docs[(r["source"] or "").strip().lower()])
+        whole = sum(t for _, t in held)
+        rest = min(r["wanted"], float(r["reachable"]))
+        given = whole * int(rest // whole) if whole else 0
+        rest, taken, upto = rest - given, 0, 0
+        for i, (key, tokens) in enumerate(held):
+            upto += tokens
+            if i + 1 == len(held) or held[i + 1][0] >> bits != key >> bits:
+                taken = upto if upto <= rest else taken
+        assert r["given"] == given + taken
+
+
 def cells(spark):
     return spark.createDataFrame([(1, "x", 0, 4, 0.5, 0, 100, "x"), (1, "x", 5, 9, 0.3, 0, 100, "x"), (1, "y", None, None, 0.2, 0, 100, "y"), (2, "z", 0, 9, 0.1, 3, 10, "z"), (2, "z", 0, 9, 0.1, 3, 10, "z"), (3, "x", 0, 9, None, None, None, "x")], CELLS)
 
@@ -85,6 +115,7 @@ def test_mix_of_nothing(spark):
 def test_public_tokens(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     docs = spark.createDataFrame([(1, "Hello world, hello!", "a"), (2, None, "a"), (3, "", "a")], DOCS)
-    count = mixing.public_tokens(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    assert mixing.PATTERN == tokenizers.PATTERN
+    count = mixing.public_tokens(spark, tokenizers.path("byte_bpe_50k.tiktoken"))
     got = {r["doc_id"]: r["n"] for r in docs.select("doc_id", count("text").alias("n")).collect()}
     assert got == {1: 5, 2: 0, 3: 0}

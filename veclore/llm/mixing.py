@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,8 +35,20 @@ def space_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0)).cast("bigint")
 
 
-def public_tokens(vocabulary: str, pattern: str):
-    """A column function: tokens of a public byte-level BPE whose ranks lie in the file ``vocabulary`` (base64 bytes and rank a line)."""
+#: The pattern that splits a text before the merges of the public rank files; a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of a rank file at most: it goes to every executor.
+MAX_VOCABULARY = 32 << 20
+
+
+def public_tokens(spark: SparkSession, vocabulary: str, pattern: str = PATTERN):
+    """A column function: tokens of a public byte-level BPE whose ranks lie in the file ``vocabulary`` (base64 bytes and rank a
+    line). The driver reads the file and broadcasts its bytes; executors need no copy of it. NULL and empty texts have none."""
+    with open(vocabulary, "rb") as f:
+        held = f.read(MAX_VOCABULARY + 1)
+    if len(held) > MAX_VOCABULARY:
+        raise ValueError(f"{vocabulary} has more than {MAX_VOCABULARY} bytes")
+    sent = spark.sparkContext.broadcast(held)
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -44,8 +56,7 @@ def public_tokens(vocabulary: str, pattern: str):
 
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         coder = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for texts in batches:
             yield texts.map(lambda t: len(coder.encode_ordinary(t)) if isinstance(t, str) else 0).astype("int64")
@@ -54,9 +65,10 @@ def public_tokens(vocabulary: str, pattern: str):
 
 
 def source_sizes(documents: DataFrame, tokens: Column, seed: int) -> DataFrame:
-    """(id, key, source, tokens) of the documents that count."""
+    """(id, key, src, tokens) of the documents that count, written once: texts are read and tokenised a single time, every
+    later step reads these narrow rows."""
     sized = documents.select(F.col("doc_id").alias("id"), source_key(F.col("source")).alias("src"), tokens.alias("tokens"))
-    return sized.where("src is not null and tokens > 0").withColumn("key", random_key(F.col("id"), seed))
+    return written(sized.where("src is not null and tokens > 0").withColumn("key", random_key(F.col("id"), seed)), "sizes")
 
 
 def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ def _sample_input(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cell: what was asked, is there, was allotted and is missing; and of its plan, whether the minima fit into the
+    sample, the rows it gets in all, and the cell's actual share of them."""
     report = sampling.sample_report(*_sample_input(spark, folder))
-    return report.select(*sampling.CELL, "target_share", "available", "wanted", "quota", F.round("short", 3).alias("short"))
+    return report.select(*sampling.CELL, "target_share", "available", "wanted", "quota", F.round("short", 3).alias("short"), "plan_rows", "plan_quota", "feasible", F.round("actual_share", 6).alias("actual_share"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,8 +32,15 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.proportional_sample(*_sample_input(spark, folder))
 
 
-def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.source_sizes(table(spark, folder, "documents"), mixing.space_tokens(F.col("text")), seed=0)
+#: Rank file of a public tokenizer; another path in the environment wins.
+VOCABULARY = os.environ.get("VECLORE_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+def _sizes(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """Sizes in runs of non-white-space characters, or in tokens of a public tokenizer."""
+    text = F.col("text")
+    tokens = mixing.public_tokens(spark, vocabulary)(text) if vocabulary else mixing.space_tokens(text)
+    return mixing.source_sizes(table(spark, folder, "documents"), tokens, seed=0)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,12 +49,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = _sizes(spark, folder)
+    """The documents of each target and their repeats, sizes in tokens of a public tokenizer."""
+    sizes = _sizes(spark, folder, VOCABULARY)
     return mixing.mixed(sizes, mixing.mix_plan(sizes, table(spark, folder, "mix_targets")))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_report(_sizes(spark, folder), table(spark, folder, "mix_targets"))
+    """Actual shares of each plan, sizes in tokens of a public tokenizer."""
+    return mixing.mix_report(_sizes(spark, folder, VOCABULARY), table(spark, folder, "mix_targets"))
 
 
 _CURRENT = r"""WITH cur AS (SELECT id, years, 'H' || regexp_extract(types, '(?i)H(\d+)N(\d+)', 1) || 'N' || regexp_extract(types, '(?i)H(\d+)N(\d+)', 2) kind
