@@ -240,7 +240,7 @@ def copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     return held, written(smallest, "copies"), alone.unionByName(members.where("asks").select("id", "rep"))
 
 
-def nearest(rows: DataFrame, k: int = 10, curves: int = 4, window: int = 400, seed: int = 7, size: int = 64) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 10, curves: int = 6, window: int = 400, seed: int = 7, size: int = 64) -> DataFrame:
     """(id, neighbor_id, distance, rank) for every row of ``rows`` (id, types, embeddings, asks) with ``asks`` true,
     among the other rows of the same ``types``.
 
