@@ -10,6 +10,7 @@ import duckdb
 def connection(folder):
     c = duckdb.connect()
     c.sql("SET timezone = 'UTC'")
+    c.sql("SET max_temp_directory_size = '4GB'")
     for f in sorted(os.listdir(folder)):
         if f.endswith(".parquet"):
             c.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{folder}/{f}'")

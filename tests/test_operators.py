@@ -133,10 +133,10 @@ def test_ranks_and_spearman(spark):
 def test_pairs_stay_in_groups(spark):
     rows, frame = points(spark, 101)
     grp = {r[0]: r[1] for r in rows}
-    got = ranks.sampled_pairs(frame, "grp", "id", 3, bucket_rows=20).collect()
+    got = ranks.sampled_pairs(frame, "grp", "id", 3).collect()
     assert len(got) == 303 and all(r["i"] != r["j"] and grp[r["i"]] == grp[r["j"]] == r["grp"] for r in got)
     assert ranks.sampled_pairs(frame.limit(1), "grp", "id").count() == 0
-    moved = ranks.permuted(frame, "grp", "id", "month_index", 1, bucket_rows=30).collect()
+    moved = ranks.permuted(frame, "grp", "id", "month_index", 1).collect()
     assert sorted(r["month_index"] for r in moved if r["grp"] == "g0") == sorted(r[3] for r in rows if r[1] == "g0")
 
 

@@ -108,15 +108,30 @@ def good_sequence(c: Column, segment: str) -> Column:
     return F.coalesce(F.length(c).between(low, high) & c.rlike("^[ATCGN]+$") & (letter_share(c, "N") <= MAX_N), F.lit(False))
 
 
+_BASE = np.full(128, 4, np.int64)
+_BASE[[ord(c) for c in BASES]] = range(4)
+_ACIDS = np.array([ord(c) for c in AMINO_ACIDS], np.uint8)
+
+
+@F.pandas_udf(T.StringType())
+def _protein(s: pd.Series) -> pd.Series:
+    """Whole codons looked up as arrays: a lambda per codon would be interpreted."""
+
+    def one(t):
+        if not isinstance(t, str):
+            return None
+        letters = np.frombuffer(t[: len(t) // 3 * 3].encode("utf-32-le", "surrogatepass"), np.uint32)
+        a, b, c = _BASE[np.where(letters < 128, letters, 0)].reshape(-1, 3).T if len(letters) else np.empty((3, 0), np.int64)
+        known = (a < 4) & (b < 4) & (c < 4)
+        return np.where(known, _ACIDS[np.where(known, 16 * a + 4 * b + c, 0)], ord("X")).astype(np.uint8).tobytes().decode("ascii")
+
+    return pd.Series([one(t) for t in s], dtype=object)
+
+
 def translated(c: Column, stop: bool = False) -> Column:
     """Amino acids of the whole codons in frame 0, ``X`` for unknown codons. ``stop``: N reads as A, and the protein ends before the first stop."""
     s = F.replace(F.upper(c), F.lit("N"), F.lit("A")) if stop else F.upper(c)
-
-    def acid(codon: Column) -> Column:
-        a, b, d = (F.instr(F.lit(BASES), F.substring(codon, i, 1)) - 1 for i in (1, 2, 3))
-        return F.when((a >= 0) & (b >= 0) & (d >= 0), F.substring(F.lit(AMINO_ACIDS), a * 16 + b * 4 + d + 1, F.lit(1))).otherwise("X")
-
-    protein = F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)(.{3})"), 1), acid), "")
+    protein = F.when(c.isNotNull(), _protein(s))
     return F.substring_index(protein, "*", 1) if stop else protein
 
 

@@ -75,8 +75,9 @@ def covariance(rows: DataFrame, vector: str, group: str | None = None) -> DataFr
 
 
 def spectrum(rows: DataFrame, vector: str, group: str | None = None) -> DataFrame:
-    """(grp, n80, n90, n95, n99, participation, total): how many components reach each share of the variance, and
-    (sum of eigenvalues)^2 / sum of their squares. One group's matrix (dimensions squared) is solved in one task."""
+    """(grp, n80, n90, n95, n99, participation, total, shares, reached): how many components reach each share of the variance,
+    (sum of eigenvalues)^2 / sum of their squares, and of each component, the largest first, its share and the share reached
+    with it. One group's matrix (dimensions squared) is solved in one task."""
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         d = int(p.i.max()) + 1
@@ -84,12 +85,13 @@ def spectrum(rows: DataFrame, vector: str, group: str | None = None) -> DataFram
         m[p.i, p.j] = p["cov"]
         w = np.clip(np.linalg.eigvalsh((m + m.T) / 2)[::-1], 0, None)
         w = w[w > 1e-12]
-        share = np.cumsum(w) / w.sum() if len(w) else np.array([])
-        reach = {f"n{int(q * 100)}": [int(np.searchsorted(share, q) + 1) if len(w) else 0] for q in (0.8, 0.9, 0.95, 0.99)}
-        return pd.DataFrame({"grp": [p.grp.iloc[0]], **reach, "participation": [float(w.sum() ** 2 / (w * w).sum()) if len(w) else None], "total": [float(w.sum())]})
+        share = w / w.sum() if len(w) else np.array([])
+        upto = np.cumsum(share)
+        reach = {f"n{int(q * 100)}": [int(np.searchsorted(upto, q) + 1) if len(w) else 0] for q in (0.8, 0.9, 0.95, 0.99)}
+        return pd.DataFrame({"grp": [p.grp.iloc[0]], **reach, "participation": [float(w.sum() ** 2 / (w * w).sum()) if len(w) else None], "total": [float(w.sum())], "shares": [share], "reached": [upto]})
 
     cov = covariance(rows, vector, group)
-    return cov.groupBy("grp").applyInPandas(solve, f"grp {dict(cov.dtypes)['grp']}, n80 int, n90 int, n95 int, n99 int, participation double, total double")
+    return cov.groupBy("grp").applyInPandas(solve, f"grp {dict(cov.dtypes)['grp']}, n80 int, n90 int, n95 int, n99 int, participation double, total double, shares array<double>, reached array<double>")
 
 
 def principal_axes(rows: DataFrame, vector: str, d: int) -> tuple[list[float], list[list[float]]]:
@@ -118,30 +120,65 @@ def standardised(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn(vector, F.zip_with(centred, sd, lambda x, s: x / s))
 
 
+def standardised_by(rows: DataFrame, vector: str, group: str, size: int) -> DataFrame:
+    """``vector`` with mean 0 and population deviation 1 per dimension inside each group. Means and deviations are one row per
+    group, combined before the shuffle."""
+    v = F.col(vector).cast("array<double>")
+    facts = rows.groupBy(F.col(group).alias("__g")).agg(F.array(*(F.avg(v[i]) for i in range(size))).alias("__mean"), F.array(*(F.stddev_pop(v[i]) for i in range(size))).alias("__sd"))
+    centred = F.zip_with(v, "__mean", lambda x, m: x - m)
+    out = F.zip_with(centred, "__sd", lambda x, s: F.when(s < 1e-12, x).otherwise(x / s))
+    return rows.join(facts, F.col(group) == F.col("__g")).withColumn(vector, out).select(*rows.columns)
+
+
 # --- two-neighbour intrinsic dimension -------------------------------------------------------------------------------
 
 
-def two_neighbor_ratios(neighbors: DataFrame, group: str = "grp") -> DataFrame:
-    """(group, id, r1, r2, mu) from a neighbour table with ranks 1 and 2; only valid ratios (0 < r1 < r2)."""
+def two_neighbors(neighbors: DataFrame, group: str = "grp") -> DataFrame:
+    """(group, id, r1, r2, mu) of every query with two neighbours in a neighbour table; ``mu`` is NULL where it isn't valid
+    (0 < r1 < r2)."""
     two = neighbors.where("rank <= 2").groupBy(group, F.col("query_id").alias("id")).agg(F.min("distance").alias("r1"), F.max("distance").alias("r2"), F.count("*").alias("c"))
-    return two.where("c = 2 and r1 > 1e-12 and r2 > r1").select(group, "id", "r1", "r2", (F.col("r2") / F.col("r1")).alias("mu"))
+    return two.where("c = 2").select(group, "id", "r1", "r2", F.when((F.col("r1") > 1e-12) & (F.col("r2") > F.col("r1")), F.col("r2") / F.col("r1")).alias("mu"))
+
+
+def two_neighbor_ratios(neighbors: DataFrame, group: str = "grp") -> DataFrame:
+    """Only the valid ones of ``two_neighbors``."""
+    return two_neighbors(neighbors, group).where("mu is not null")
+
+
+def _in_order(held: DataFrame, group: str) -> DataFrame:
+    """With ``__i``, the place of each row from 1 by (mu, id) in its group, and ``__n``, the group's rows."""
+    from veclore.operators.ranks import average_ranks
+
+    same = Window.partitionBy(group, "mu")
+    placed = average_ranks(held, [group], "mu", name="__r").withColumn("__t", F.row_number().over(same.orderBy("id"))).withColumn("__s", F.count("*").over(same))
+    placed = placed.withColumn("__i", F.col("__r") - (F.col("__s") - 1) / 2.0 + F.col("__t") - 1)
+    return placed.join(held.groupBy(group).agg(F.count("*").alias("__n")), group).drop("__r", "__t", "__s")
 
 
 def two_neighbor_dimension(ratios: DataFrame, group: str = "grp", trim: float = 0.0, least: int = 10) -> DataFrame:
-    """Per group: the slope of -log(1 - F) on log mu with F = (i - .5) / n, its fit, and the rows used. ``trim`` cuts that
-    share of the ratios at either end (ends included); groups under ``least`` ratios give NULL."""
+    """Per group: the slope of -log(1 - F) on log mu with F = (i - .5) / n, its fit, the rows used, those left out as invalid
+    (mu NULL) and as trimmed, and the range of mu. ``trim`` cuts that share of the ratios at either end (ends included) of
+    groups with more than ten; groups under ``least`` ratios give NULL."""
     held = written(ratios, "ratios")
+    facts = held.groupBy(group).agg(F.count("mu").alias("__valid"), F.count_if(F.col("mu").isNull()).alias("invalid"))
+    held = held.where("mu is not null")
     if trim > 0:
-        ends = held.groupBy(group).agg(F.percentile("mu", trim).alias("__lo"), F.percentile("mu", 1 - trim).alias("__hi"))
-        held = held.join(ends, group).where("mu between __lo and __hi").drop("__lo", "__hi")
-    from veclore.operators.ranks import average_ranks
-
-    # an order number, ties apart: rank on mu, ties by id, both spread over buckets by average_ranks
-    placed = average_ranks(held, [group], "mu", name="__r").withColumn("__t", F.row_number().over(Window.partitionBy(group, "mu").orderBy("id")))
-    same = F.count("*").over(Window.partitionBy(group, "mu"))
-    placed = placed.withColumn("__i", F.col("__r") - (same - 1) / 2.0 + F.col("__t") - 1)
-    sizes = held.groupBy(group).agg(F.count("*").alias("__n"))
-    curve = placed.join(sizes, group).select(group, F.log("mu").alias("x"), (-F.log1p(-(F.col("__i") - 0.5) / F.col("__n"))).alias("y"))
-    fit = curve.groupBy(group).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("dimension"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
+        ends = held.groupBy(group).agg(F.count("*").alias("__c"), F.percentile("mu", trim).alias("__lo"), F.percentile("mu", 1 - trim).alias("__hi"))
+        held = written(held.join(ends, group).where("__c <= 10 or mu between __lo and __hi").drop("__c", "__lo", "__hi"), "ratios")
+    curve = _in_order(held, group).select(group, "mu", F.log("mu").alias("x"), (-F.log1p(-(F.col("__i") - 0.5) / F.col("__n"))).alias("y"))
+    fit = curve.groupBy(group).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("dimension"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.min("mu").alias("mu_min"), F.percentile("mu", 0.5).alias("mu_median"), F.max("mu").alias("mu_max"))
     enough = F.col("n") >= least
-    return fit.select(group, "n", *(F.when(enough, F.col(c)).alias(c) for c in ("dimension", "intercept", "r2")))
+    out = facts.join(fit, group, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select(group, "n", "invalid", (F.col("__valid") - F.col("n")).alias("trimmed"), *(F.when(enough, F.col(c)).alias(c) for c in ("dimension", "intercept", "r2")), "mu_min", "mu_median", "mu_max")
+
+
+def two_neighbor_script(pairs: DataFrame, group: str = "grp", trim: float = 0.05, least: int = 10) -> DataFrame:
+    """(group, n, dimension), the variant that keeps all rows: mu is 1 where r1 is 0, the share ``trim`` is cut by place at
+    either end, F = i / n, and only mu > 1.001 with F < .9999 are fitted. ``pairs``: group, id, r1, r2."""
+    mu = F.when(F.col("r1") > 1e-10, F.col("r2") / F.col("r1")).otherwise(1.0)
+    placed = _in_order(written(pairs.select(group, "id", mu.alias("mu")), "ratios"), group)
+    cut = F.floor(trim * F.col("__n"))
+    kept = placed.withColumn("__cut", cut).where("__i > __cut and __i <= __n - __cut").select(group, "mu", ((F.col("__i") - F.col("__cut")) / (F.col("__n") - 2 * F.col("__cut"))).alias("f"))
+    curve = kept.where((F.col("mu") > 1.001) & (F.col("f") < 0.9999)).select(group, F.log("mu").alias("x"), (-F.log(1 - F.col("f"))).alias("y"))
+    fit = curve.groupBy(group).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("dimension"))
+    return fit.select(group, "n", F.when(F.col("n") >= least, F.col("dimension")).alias("dimension"))

@@ -140,10 +140,10 @@ POSITION_SQL = f"""WITH {RECORDS_SQL}, p AS (SELECT unnest(range(0, 400)) pos),
 SELECT pos::INT pos, CASE WHEN instr('ARNDCQEGHILKMFPSTWYV', x) > 0 THEN instr('ARNDCQEGHILKMFPSTWYV', x) - 1 ELSE 21 END::INT code, count(*) n FROM c GROUP BY 1, 2"""
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+def _pairs(spark: SparkSession, folder: str, seed: int = SEED) -> DataFrame:
     r = records(spark, folder).where("ha is not null and na is not null and grp is not null")
     seq = r.select("id", "ha", "na")
-    pairs = sampled_pairs(r, "grp", "id", per_row=2, seed=SEED)
+    pairs = sampled_pairs(r, "grp", "id", per_row=2, seed=seed)
     return pairs.join(seq.select(F.col("id").alias("i"), F.col("ha").alias("ha_i"), F.col("na").alias("na_i")), "i").join(seq.select(F.col("id").alias("j"), F.col("ha").alias("ha_j"), F.col("na").alias("na_j")), "j")
 
 
@@ -177,11 +177,22 @@ SELECT grp, count(*) pairs, count(nullif(m, -1)) valid, round(coalesce(avg(nulli
 
 
 def aligned_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Gap-aware distance of a sample of 250 pairs per type (those with the smallest hashes), beside the prefix distance."""
+    """Gap-aware distance beside the prefix distance, of 250 pairs per type and seed (those with the smallest hashes), for
+    three seeds: HA, NA, and both weighted by length."""
     from veclore.operators.ranks import smallest_hashes
 
-    few = smallest_hashes(_pairs(spark, folder).where("draw = 1"), ["grp"], "i", 250, SEED)
-    return few.repartition(8, "i").select("grp", "i", "j", F.round(alignment_distance("na_i", "na_j"), 9).alias("aligned"), F.round(S.hamming(F.col("na_i"), F.col("na_j")), 9).alias("prefix"))
+    out = None
+    for seed in (42, 7, 123):
+        one = smallest_hashes(_pairs(spark, folder, seed).where("draw = 1"), ["grp"], "i", 250, seed).withColumn("seed", F.lit(seed))
+        out = one if out is None else out.unionByName(one)
+    # the pairs are few and each takes long: a row per segment, spread over all cores
+    each = out.select("seed", "grp", "i", "j", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.col(f"{s}_i").alias("x"), F.col(f"{s}_j").alias("y")) for s in ("ha", "na")))).alias("e"))
+    each = written(each.repartition(max(64, 4 * spark.sparkContext.defaultParallelism), "seed", "i", "e.s"), "pairs")
+    d = each.select("seed", "grp", "i", "j", "e.s", alignment_distance("e.x", "e.y").alias("aligned"), S.hamming(F.col("e.x"), F.col("e.y")).alias("prefix"), F.least(F.length("e.x"), F.length("e.y")).alias("w"))
+    of = lambda s, c: F.max(F.when(F.col("s") == s, F.col(c)))
+    both = lambda c: (of("ha", c) * of("ha", "w") + of("na", c) * of("na", "w")) / F.nullif(of("ha", "w") + of("na", "w"), F.lit(0))
+    parts = [F.round(x, 9).alias(f"{c}_{s}") for c in ("aligned", "prefix") for s, x in (("ha", of("ha", c)), ("na", of("na", c)), ("both", both(c)))]
+    return d.groupBy("seed", "grp", "i", "j").agg(*parts)
 
 
 def dedup_policies(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,11 +260,8 @@ BY_NUMBER_SQL = f"""WITH {RECORDS_SQL} SELECT id, right_id, delta FROM (SELECT a
 
 def kmer_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Document frequency and inverse of the 5-letter terms of both segments, per type."""
-    r = records(spark, folder).where("grp is not null")
-    counts = K.term_counts(r, S.joined_segments(F.col("ha"), F.col("na"), 5), 5)
-    n = counts.select("grp", "id").distinct().groupBy("grp").agg(F.count("*").alias("docs"))
-    df = counts.groupBy("grp", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    return df.join(n, "grp").select("grp", "term", "df", "tf", F.round(F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1, 9).alias("idf"))
+    found = K.term_statistics(records(spark, folder), S.joined_segments(F.col("ha"), F.col("na"), 5), 5)
+    return found.select("grp", "term", "df", "tf", F.round(F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1, 9).alias("idf"))
 
 
 KMER_SQL = f"""WITH {RECORDS_SQL}, t AS (SELECT grp, id, upper(ha) || 'NNNNN' || upper(na) t FROM recs WHERE grp IS NOT NULL AND ha IS NOT NULL AND na IS NOT NULL),
@@ -261,26 +269,134 @@ x AS (SELECT grp, id, substr(t, i, 5) term FROM (SELECT grp, id, t, unnest(range
 SELECT x.grp, term, count(DISTINCT id) df, count(*) tf, round(ln((1 + any_value(docs)) / (1 + count(DISTINCT id))) + 1, 9) idf FROM x JOIN n ON n.grp = x.grp GROUP BY 1, 2"""
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return written(records(spark, folder).where("grp is not null and ha is not null and na is not null").select("id", "grp", "ha", "na", (F.col("id") % 100 == 0).alias("asks")), "texts")
+
+
 def tfidf_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 nearest records by TF-IDF cosine of 5-letter terms, for every record whose id is divisible by 100."""
-    r = records(spark, folder).where("grp is not null")
-    w = K.tfidf(K.term_counts(r, S.joined_segments(F.col("ha"), F.col("na"), 5), 5))
-    return K.cosine_neighbors(w, r.where("id % 100 = 0"), 5).select("grp", "query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))
+    near = K.term_neighbors(_texts(spark, folder), S.joined_segments(F.col("ha"), F.col("na"), 5), 5, 5)
+    return near.select("grp", "query_id", "rank", "neighbor_id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
-def reranked_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    """50 candidates by randomly projected term vectors, then the 5 nearest by two-segment Hamming distance."""
-    r = records(spark, folder).where("grp is not null")
-    v = K.random_projection(K.tfidf(K.term_counts(r, S.joined_segments(F.col("ha"), F.col("na"), 5), 5)), 64).withColumn("asks", F.col("id") % 100 == 0)
-    near = exact_neighbors(v, 50).select("grp", "query_id", "neighbor_id")
-    q, n = (r.select(F.col("id").alias(k), F.col("ha").alias(f"ha_{k[0]}"), F.col("na").alias(f"na_{k[0]}")) for k in ("query_id", "neighbor_id"))
-    both = near.join(q, "query_id").join(n, "neighbor_id")
+_TERMS_SQL = f"""WITH {RECORDS_SQL}, tx AS (SELECT grp, id, ha, na, upper(ha) || 'NNNNN' || upper(na) t FROM recs WHERE grp IS NOT NULL AND ha IS NOT NULL AND na IS NOT NULL),
+x AS (SELECT grp, id, substr(t, i, 5) term, count(*) tf FROM (SELECT grp, id, t, unnest(range(1, len(t) - 3)) i FROM tx) GROUP BY 1, 2, 3),
+nd AS (SELECT grp, count(DISTINCT id) docs FROM x GROUP BY 1), idf AS (SELECT x.grp, term, ln((1 + any_value(docs)) / (1 + count(*))) + 1 idf FROM x JOIN nd ON nd.grp = x.grp GROUP BY 1, 2),
+w0 AS (SELECT x.grp, x.id, x.term, tf * idf w FROM x JOIN idf i ON i.grp = x.grp AND i.term = x.term), w AS MATERIALIZED (SELECT grp, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) w FROM w0),
+c AS MATERIALIZED (SELECT a.grp, a.id query_id, b.id neighbor_id, round(1 - sum(a.w * b.w), 9) d FROM w a JOIN w b ON a.grp = b.grp AND a.term = b.term AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY 1, 2, 3)"""
+TFIDF_SQL = f"""{_TERMS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) rank FROM c) SELECT grp, query_id, rank::INT rank, neighbor_id, round(1 - d, 6) similarity FROM r WHERE rank <= 5"""
+
+
+def _reranked(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """The 5 nearest of each query's candidates by two-segment Hamming distance. Queries are few: their texts are broadcast where
+    they fit, so that only the candidates' texts move."""
+    from veclore.runtime import broadcast_if_small
+
+    q, n = (texts.select(F.col("id").alias(k), F.col("ha").alias(f"ha_{k[0]}"), F.col("na").alias(f"na_{k[0]}")) for k in ("query_id", "neighbor_id"))
+    asked = broadcast_if_small(q.where("query_id % 100 = 0"))
+    both = near.select("grp", "query_id", "neighbor_id").join(n, "neighbor_id").join(asked, "query_id")
     d = F.round(S.weighted_hamming(F.col("ha_q"), F.col("ha_n"), F.col("na_q"), F.col("na_n")), 9)
     return K.reranked(both, d, 5)
 
 
-QUERIES = {f.__name__: f for f in (name_fields, date_fields, quality_reasons, valid_records, translations, content_keys, token_rows, letter_counts, position_letters, hamming_pairs, protein_mismatches, aligned_pairs, dedup_policies, duplicate_sizes, segment_pairs, paired_by_name, paired_by_number, kmer_terms, tfidf_neighbors, reranked_neighbors)}
+def reranked_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    """500 candidates by TF-IDF cosine, then the 5 nearest by two-segment Hamming distance."""
+    texts = _texts(spark, folder)
+    near = written(K.term_neighbors(texts, S.joined_segments(F.col("ha"), F.col("na"), 5), 5, 500), "candidates")
+    return _reranked(texts, near)
+
+
+RERANKED_SQL = f"""{_TERMS_SQL}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) r FROM c) WHERE r <= 500),
+h AS (SELECT k.grp, query_id, neighbor_id, {_HAM("a.ha", "b.ha")} h, {_HAM("a.na", "b.na")} n, least(len(a.ha), len(b.ha)) w1, least(len(a.na), len(b.na)) w2 FROM k JOIN tx a ON a.id = query_id JOIN tx b ON b.id = neighbor_id),
+m AS (SELECT grp, query_id, neighbor_id, round((h * w1 + n * w2) / nullif(w1 + w2, 0), 9) distance FROM h)
+SELECT grp, query_id, rank::INT rank, neighbor_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance IS NULL, distance, neighbor_id) rank FROM m) WHERE rank <= 5"""
+
+
+def projected_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest records by Euclidean distance of 384 signed sums of their TF-IDF terms."""
+    return K.term_neighbors(_texts(spark, folder), S.joined_segments(F.col("ha"), F.col("na"), 5), 5, 5, signs=384).withColumn("distance", F.round("distance", 6))
+
+
+def twonn_hamming(spark: SparkSession, folder: str) -> DataFrame:
+    """Two nearest by Hamming distance of the first 400 letters of HA, and the dimension by the variant that
+    keeps all rows, for two trims."""
+    r = records(spark, folder).where("grp is not null and length(ha) > 300")
+    rows = r.select("id", "grp", S.position_codes(F.col("ha"), 400).alias("vector"), (F.col("id") % 100 == 0).alias("asks"))
+    pairs, out = written(stats.two_neighbors(exact_neighbors(rows, 2, metric="hamming", digits=9)), "pairs"), None
+    sizes = pairs.groupBy("grp").agg(F.count("*").alias("queries"), F.round(F.avg("r1"), 6).alias("mean_r1"), F.round(F.avg("r2"), 6).alias("mean_r2"))
+    for trim in (0.01, 0.05):
+        one = sizes.join(stats.two_neighbor_script(pairs, trim=trim, least=3), "grp", "left").select("grp", F.lit(trim).alias("trim"), "queries", "mean_r1", "mean_r2", F.coalesce("n", F.lit(0)).alias("n"), F.round("dimension", 6).alias("dimension"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _twonn_sql() -> str:
+    code = "list_transform(range(1, 401), lambda i: CASE WHEN i > len(ha) THEN 0 WHEN instr('ARNDCQEGHILKMFPSTWYV', substr(ha, i, 1)) > 0 THEN instr('ARNDCQEGHILKMFPSTWYV', substr(ha, i, 1)) - 1 ELSE 21 END)"
+    one = lambda t: f"""(WITH o AS (SELECT grp, query_id, mu, row_number() OVER (PARTITION BY grp ORDER BY mu, query_id) i, count(*) OVER (PARTITION BY grp) n FROM u), k AS (SELECT grp, mu, (i - floor({t} * n)) / (n - 2 * floor({t} * n)) f FROM o WHERE i > floor({t} * n) AND i <= n - floor({t} * n)),
+  g AS (SELECT grp, count(*) n, CASE WHEN count(*) >= 3 THEN regr_slope(-ln(1 - f), ln(mu)) END d FROM k WHERE mu > 1.001 AND f < 0.9999 GROUP BY 1)
+  SELECT s.grp, {t}::DOUBLE AS trim, queries, mean_r1, mean_r2, coalesce(g.n, 0) n, round(d, 6) dimension FROM s LEFT JOIN g ON g.grp = s.grp)"""
+    return f"""WITH {RECORDS_SQL}, v AS MATERIALIZED (SELECT id, grp, {code} v FROM recs WHERE grp IS NOT NULL AND len(ha) > 300),
+h AS (SELECT a.grp, a.id query_id, b.id neighbor_id, round(len(list_filter(list_zip(a.v, b.v), lambda z: z[1] <> z[2])) / 400, 9) d FROM v a JOIN v b ON a.grp = b.grp AND a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT grp, query_id, min(d) r1, max(d) r2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) r FROM h) WHERE r <= 2 GROUP BY 1, 2 HAVING count(*) = 2),
+s AS (SELECT grp, count(*) queries, round(avg(r1), 6) mean_r1, round(avg(r2), 6) mean_r2 FROM p GROUP BY 1), u AS (SELECT grp, query_id, CASE WHEN r1 > 1e-10 THEN r2 / r1 ELSE 1.0 END mu FROM p)
+{" UNION ALL ".join(one(t) for t in (0.01, 0.05))}"""
+
+
+def duplicate_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Of contents and of names, records, distinct ones, excess copies, those in groups of several, and the share that
+    deduplication removes."""
+    r, out = table(spark, folder, "records"), None
+    keys = {"content": S.content_key(F.upper("ha_sequence"), F.upper("na_sequence")), "name": S.content_key(F.upper("strain_name"), F.col("subtype_token"))}
+    for name, key in keys.items():
+        one = r.groupBy(key.alias("k")).agg(F.count("*").alias("c"))
+        n, several = F.sum("c"), F.when(F.col("c") > 1, F.col("c"))
+        one = one.agg(F.lit(name).alias("of"), n.alias("records"), F.count("*").alias("distinct"), (n - F.count("*")).alias("excess"), F.count(several).alias("groups"), F.coalesce(F.sum(several), F.lit(0)).alias("in_groups"), F.round(1 - F.count("*") / n, 6).alias("removed_share"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+DUPLICATE_COUNTS_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS of, sum(c)::BIGINT records, count(*) \"distinct\", (sum(c) - count(*))::BIGINT excess, count(*) FILTER (c > 1) AS groups, coalesce(sum(c) FILTER (c > 1), 0)::BIGINT in_groups, round(1 - count(*) / sum(c), 6) removed_share FROM (SELECT count(*) c FROM records GROUP BY {key})"
+    for name, key in (("content", "sha1(coalesce(upper(ha_sequence), '') || '|' || coalesce(upper(na_sequence), ''))"), ("name", "sha1(coalesce(upper(strain_name), '') || '|' || coalesce(subtype_token, ''))"))
+)
+
+
+def letter_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Per segment, records with letters, with a gap, with an ambiguity letter, and with a letter that is none of the IUPAC ones."""
+    r, out = table(spark, folder, "records"), None
+    for segment in ("ha", "na"):
+        t = F.upper(f"{segment}_sequence")
+        has = lambda p: F.count_if(F.coalesce(t.rlike(p), F.lit(False)))  # noqa: B023, E731
+        one = r.agg(F.lit(segment).alias("segment"), F.count_if(F.coalesce(t != "", F.lit(False))).alias("records"), has("[-.]").alias("gaps"), has("[RYSWKMBDHVN]").alias("ambiguous"), has("[^ACGTURYSWKMBDHVN.-]").alias("others"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+LETTER_FLAGS_SQL = " UNION ALL ".join(
+    f"SELECT '{s}' segment, count(*) FILTER (t <> '') records, count(*) FILTER (regexp_matches(t, '[-.]')) gaps, count(*) FILTER (regexp_matches(t, '[RYSWKMBDHVN]')) ambiguous, count(*) FILTER (regexp_matches(t, '[^ACGTURYSWKMBDHVN.-]')) others FROM (SELECT upper({s}_sequence) t FROM records)" for s in ("ha", "na")
+)
+
+
+def paired_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """HA rows paired with NA rows by normalised name, those left over by numbers close to theirs; how many by each way.
+    The rows of even accessions stand for a file of HA, those of odd ones for a file of NA."""
+    r = records(spark, folder).select("id", F.lit("EPI_ISL_").alias("prefix"), F.col("id").alias("number"), S.strain_key(F.regexp_replace("strain_name", r"/\d+/", "/")).alias("name"))
+    ha, na = written(r.where("id % 2 = 0"), "ha"), written(r.where("id % 2 = 1"), "na")
+    by_name = R.paired_by_name(ha.where("name is not null").select("id", "name"), na.select("id", "name")).where("right_id is not null").select("id", "right_id", F.lit("by_name").alias("way"))
+    left = ha.join(by_name.select("id"), "id", "left_anti")
+    by_number = R.paired_by_number(left, na).select("id", "right_id", F.lit("by_number").alias("way"))
+    return by_name.unionByName(by_number).groupBy("way").agg(F.count("*").alias("pairs"), F.countDistinct("right_id").alias("used"), F.sum("id").alias("ids"), F.sum("right_id").alias("right_ids"))
+
+
+CHAIN_SQL = f"""WITH {RECORDS_SQL}, r AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace(strain_name, '/\d+/', '/', 'g')), '\s+', '', 'g'), 'H\d+N\d+$', ''), '[()]', '', 'g') AS name FROM recs),
+f AS (SELECT name, min(id) right_id FROM r WHERE id % 2 = 1 AND name IS NOT NULL GROUP BY 1), a AS (SELECT r.id, f.right_id FROM r JOIN f ON f.name = r.name WHERE r.id % 2 = 0),
+b AS (SELECT id, right_id FROM (SELECT x.id, y.id right_id, row_number() OVER (PARTITION BY x.id ORDER BY d.p) rn FROM r x, (VALUES (2, 0), (1, 1), (3, 2), (4, 3)) d(delta, p) JOIN r y ON y.id = x.id + d.delta AND y.id % 2 = 1 WHERE x.id % 2 = 0 AND x.id NOT IN (SELECT id FROM a)) WHERE rn = 1)
+SELECT way, count(*) pairs, count(DISTINCT right_id) used, sum(id)::BIGINT ids, sum(right_id)::BIGINT right_ids FROM (SELECT *, 'by_name' way FROM a UNION ALL SELECT *, 'by_number' FROM b) GROUP BY 1"""
+
+
+QUERIES = {f.__name__: f for f in (name_fields, date_fields, quality_reasons, valid_records, translations, content_keys, token_rows, letter_counts, position_letters, hamming_pairs, protein_mismatches, aligned_pairs, dedup_policies, duplicate_sizes, segment_pairs, paired_by_name, paired_by_number, kmer_terms, tfidf_neighbors, reranked_neighbors, projected_neighbors, twonn_hamming, duplicate_counts, letter_flags, paired_chain)}
 ORACLES = {
     "name_fields": NAME_FIELDS_SQL, "date_fields": DATE_FIELDS_SQL, "quality_reasons": QUALITY_SQL, "valid_records": VALID_SQL, "translations": TRANSLATIONS_SQL, "content_keys": CONTENT_SQL, "token_rows": TOKENS_SQL, "letter_counts": LETTERS_SQL,
     "position_letters": POSITION_SQL, "hamming_pairs": HAMMING_SQL, "protein_mismatches": PROTEIN_SQL, "dedup_policies": DEDUP_SQL, "duplicate_sizes": DUPLICATES_SQL, "segment_pairs": SEGMENT_SQL, "paired_by_name": BY_NAME_SQL, "paired_by_number": BY_NUMBER_SQL, "kmer_terms": KMER_SQL,
+    "tfidf_neighbors": TFIDF_SQL, "reranked_neighbors": RERANKED_SQL, "twonn_hamming": _twonn_sql(), "duplicate_counts": DUPLICATE_COUNTS_SQL, "letter_flags": LETTER_FLAGS_SQL, "paired_chain": CHAIN_SQL,
 }
