@@ -466,10 +466,10 @@ class Model(NamedTuple):
 def train(documents: DataFrame, name_parts: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """At most ``rows`` documents, those with the smallest hashed id, come to the driver; words are counted over all. More than
     ``MAX_PARTS`` name parts are an error."""
-    rows = name_parts.where("name_part is not null").select(F.lower("name_part").alias("part"), "part_kind").distinct().limit(MAX_PARTS + 1).collect()
-    if len(rows) > MAX_PARTS:
+    listed = name_parts.where("name_part is not null").select(F.lower("name_part").alias("part"), "part_kind").distinct().limit(MAX_PARTS + 1).collect()
+    if len(listed) > MAX_PARTS:
         raise ValueError(f"more than {MAX_PARTS} name parts")
-    parts = [(r["part"], r["part_kind"]) for r in rows]
+    parts = [(r["part"], r["part_kind"]) for r in listed]
     given, family = {p for p, k in parts if k == "given"}, {p for p, k in parts if k == "family"}
     pages = documents.where("text is not null and text != ''").select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"))
     # a threshold on the hash first, so that not every task sends ``rows`` texts
