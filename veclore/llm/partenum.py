@@ -151,7 +151,7 @@ def _shared(k: int):
 
         def kmers(packed: bytes) -> np.ndarray:
             if packed not in kept:
-                if len(kept) > 4000:  # 25 kB each, of records as long as these
+                if len(kept) > 1500:  # 25 kB each, of records as long as these
                     kept.clear()
                 kept[packed] = np.unique(kmer_hashes(zlib.decompress(packed).decode("utf-8", "surrogatepass").split("|"), k)[1])
             return kept[packed]
