@@ -11,7 +11,7 @@ def plan(frame):
 
 
 def test_scans_read_only_what_they_need(spark, data):
-    text = plan(integrity.p4_found(spark, data))
+    text = "".join(plan(f) for r in integrity.references(spark, data).values() for f in (r.rows, r.targets))
     assert "embeddings" not in "".join(re.findall(r"ReadSchema: [^\n]*", text)) and "ha_sequence" not in "".join(re.findall(r"ReadSchema: [^\n]*", text))
     assert "EqualTo(cache_name,fixed)" in text
 

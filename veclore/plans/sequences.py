@@ -388,7 +388,7 @@ def paired_chain(spark: SparkSession, folder: str) -> DataFrame:
     return by_name.unionByName(by_number).groupBy("way").agg(F.count("*").alias("pairs"), F.countDistinct("right_id").alias("used"), F.sum("id").alias("ids"), F.sum("right_id").alias("right_ids"))
 
 
-CHAIN_SQL = f"""WITH {RECORDS_SQL}, r AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace(strain_name, '/\d+/', '/', 'g')), '\s+', '', 'g'), 'H\d+N\d+$', ''), '[()]', '', 'g') AS name FROM recs),
+CHAIN_SQL = rf"""WITH {RECORDS_SQL}, r AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace(strain_name, '/\d+/', '/', 'g')), '\s+', '', 'g'), 'H\d+N\d+$', ''), '[()]', '', 'g') AS name FROM recs),
 f AS (SELECT name, min(id) right_id FROM r WHERE id % 2 = 1 AND name IS NOT NULL GROUP BY 1), a AS (SELECT r.id, f.right_id FROM r JOIN f ON f.name = r.name WHERE r.id % 2 = 0),
 b AS (SELECT id, right_id FROM (SELECT x.id, y.id right_id, row_number() OVER (PARTITION BY x.id ORDER BY d.p) rn FROM r x, (VALUES (2, 0), (1, 1), (3, 2), (4, 3)) d(delta, p) JOIN r y ON y.id = x.id + d.delta AND y.id % 2 = 1 WHERE x.id % 2 = 0 AND x.id NOT IN (SELECT id FROM a)) WHERE rn = 1)
 SELECT way, count(*) pairs, count(DISTINCT right_id) used, sum(id)::BIGINT ids, sum(right_id)::BIGINT right_ids FROM (SELECT *, 'by_name' way FROM a UNION ALL SELECT *, 'by_number' FROM b) GROUP BY 1"""
