@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.parity import assert_same
@@ -8,8 +9,9 @@ from veclore.llm import partenum, plans_records
 SCHEMA = "key bigint, first_text string, second_text string"
 
 
-def test_parity(spark, data):
-    assert_same(spark, data, plans_records.p5_found, plans_records.ORACLES["p5_found"])
+@pytest.mark.parametrize("name", sorted(plans_records.ORACLES))
+def test_parity(spark, data, name):
+    assert_same(spark, data, plans_records.QUERIES[name], plans_records.ORACLES[name])
 
 
 def mutated(rng, s, edits):

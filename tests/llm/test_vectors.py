@@ -8,8 +8,9 @@ from veclore.llm import clusters, curves, plans_vectors
 SCHEMA = "id bigint, types string, embeddings array<float>, asks boolean"
 
 
-def test_parity(spark, data):
-    assert_same(spark, data, plans_vectors.p2_found, plans_vectors.ORACLES["p2_found"])
+@pytest.mark.parametrize("name", sorted(plans_vectors.ORACLES))
+def test_parity(spark, data, name):
+    assert_same(spark, data, plans_vectors.QUERIES[name], plans_vectors.ORACLES[name])
 
 
 def test_hilbert_steps_are_unit_steps():

@@ -30,4 +30,8 @@ s AS (SELECT k, hash(x) h FROM (SELECT k, unnest(list_transform(range(1, len(a)
 n AS (SELECT k, count(*) n FROM s GROUP BY 1),
 p AS (SELECT x.k a, y.k b, count(*) c FROM s x JOIN s y ON x.h = y.h AND x.k < y.k GROUP BY 1, 2)
 SELECT a epi_a, b epi_b FROM p JOIN n u ON u.k = a JOIN n v ON v.k = b WHERE c >= 0.6 * (u.n + v.n - c)"""
-ORACLES = {"p5_found": P5_FOUND_SQL}
+P5_GROUPS_SQL = f"""{P5_FOUND_SQL.replace("WITH r AS", "WITH RECURSIVE r AS", 1).replace("GROUP BY 1, 2)\nSELECT a epi_a", "GROUP BY 1, 2),\nf AS MATERIALIZED (SELECT a epi_a")}),
+e AS MATERIALIZED (SELECT epi_a x, epi_b y FROM f UNION ALL SELECT epi_b, epi_a FROM f), degree AS (SELECT x, count(*) links FROM e GROUP BY 1),
+reach(k, c) AS (SELECT k, k FROM n UNION SELECT e.y, r.c FROM reach r JOIN e ON e.x = r.k WHERE e.y > r.c), low AS (SELECT k, min(c) c FROM reach GROUP BY 1)
+SELECT k epi, c group_id, coalesce(links, 0) links FROM low LEFT JOIN degree ON x = k"""
+ORACLES = {"p5_found": P5_FOUND_SQL, "p5_groups": P5_GROUPS_SQL}

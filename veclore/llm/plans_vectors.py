@@ -70,4 +70,13 @@ WITH cur AS (SELECT id, embeddings::DOUBLE[] v, 'H' || regexp_extract(types, '(?
 ok AS (SELECT * FROM cur WHERE kind <> 'HN' AND len(list_filter(v, lambda x: isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 pairs AS (SELECT a.id, b.id neighbor_id, list_distance(a.v, b.v) d FROM ok a JOIN (SELECT DISTINCT id FROM neighbor_probes) p ON p.id = a.id JOIN ok b ON a.kind = b.kind AND a.id <> b.id)
 SELECT id, neighbor_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbor_id) rn FROM pairs) WHERE rn <= 10"""
-ORACLES = {"p2_found": P2_FOUND_SQL}
+_OK_SQL = P2_FOUND_SQL[: P2_FOUND_SQL.index(",\npairs AS")]
+P2_NEIGHBORS_SQL = f"""{_OK_SQL},
+pairs AS (SELECT a.id, b.id neighbor_id, list_distance(a.v, b.v) d FROM ok a JOIN ok b ON a.kind = b.kind AND a.id <> b.id WHERE a.id % 100 = 0)
+SELECT id, rank::INT rank, neighbor_id, round(d, 6) distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbor_id) rank FROM pairs) WHERE rank <= 10"""
+P3_FOUND_SQL = f"""{_OK_SQL.replace("WITH cur", "WITH RECURSIVE cur").replace("kind <> 'HN' AND ", "")},
+edges AS MATERIALIZED (SELECT a.id x, b.id y FROM ok a JOIN ok b ON a.id <> b.id WHERE list_distance(a.v, b.v) <= 0.8),
+reach(id, c) AS (SELECT id, id FROM ok UNION SELECT e.y, r.c FROM reach r JOIN edges e ON e.x = r.id WHERE e.y > r.c),
+low AS (SELECT id, min(c) cluster_id FROM reach GROUP BY 1)
+SELECT id, cluster_id FROM (SELECT *, count(*) OVER (PARTITION BY cluster_id) n FROM low) WHERE n >= 5"""
+ORACLES = {"p2_found": P2_FOUND_SQL, "p2_neighbors": P2_NEIGHBORS_SQL, "p3_found": P3_FOUND_SQL}
