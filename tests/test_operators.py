@@ -253,3 +253,57 @@ def test_components_of_long_chains_in_no_order(spark):
     edges = list(zip(ids, ids[1:])) + [(5, 5), (7, 6), (6, 7), (None, 1)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 1000 for i in ids} | {5: 5, 6: 6, 7: 6}
+
+
+def test_candidates_of_hot_months_equal_brute_force(spark):
+    """Cutting each month (or month and length) before the join loses no candidate: few lengths, few months, many rows."""
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    rows = [(i, "g", int(rng.integers(0, 9)), int(rng.integers(96, 104)), f"f{rng.integers(0, 500)}") for i in range(600)]
+    lengths = {}
+    rows = [(i, g, m, lengths.setdefault(f, n), f) for i, g, m, n, f in rows]
+    frame = spark.createDataFrame(rows, "id int, grp string, month_index int, length int, fingerprint string")
+    windows = [(f"w{r[0]}", "g", r[0], r[2], r[3], r[4], [rows[r[0] + 1][0], rows[r[0] + 2][0]]) for r in rows[::120]]
+    w = spark.createDataFrame(windows, "window_id string, grp string, target_id int, target_month int, target_length int, target_fingerprint string, context_ids array<int>")
+    order = lambda i: hashlib.sha1(f"0|{i}".encode()).hexdigest()
+    first = {}
+    for i, _, m, n, f in rows:
+        first[m, f] = min(first.get((m, f), (i, n)), (i, n))
+    for policy in ranking.POLICIES:
+        want = set()
+        for name, _, target, month, length, mark, context in windows:
+            fits = {"same_month": lambda m, n: m == month, "near": lambda m, n: abs(m - month) <= 3, "past": lambda m, n: m < month, "group": lambda m, n: True, "length": lambda m, n: abs(n - length) <= 0.03 * length}[policy]  # noqa: B023
+            all_of = sorted((abs(m - month), order(i), i, f) for (m, f), (i, n) in first.items() if f != mark and i not in context and fits(m, n))
+            kept, seen = [target], {mark}
+            for _, _, i, f in all_of:
+                if f not in seen and len(kept) < 10:
+                    kept.append(i)
+                    seen.add(f)
+            want |= {(name, i) for i in kept}
+        assert {(r["window_id"], r["candidate_id"]) for r in ranking.candidates(w, frame, policy, 10).collect()} == want, policy
+
+
+def test_calibrated_report(spark):
+    rows = [(0, "cal", [5.0, 1.0, 0.0]), (0, "cal", [4.0, 1.0, 0.0]), (1, "cal", [0.0, 1.0, 3.0]), (0, "test", [2.0, 9.0, 1.0]), (0, "test", [1.0, 0.0, 2.0]), (1, "test", [0.0, 1.0, 3.0]), (1, "test", [1.0, 0.0, 1.0])]
+    report = lambda r: ranking.calibrated_report(spark.createDataFrame(r, "true_class int, split string, logits array<double>")).first()
+    got = report(rows)
+    assert (got["idx_a"], got["idx_b"], got["ambiguous"], got["n"], got["unknown"]) == (0, 2, False, 4, 1)
+    assert (got["c00"], got["c01"], got["c10"], got["c11"], got["accuracy"]) == (1, 1, 1, 1, 0.5) and got["macro_f1"] == 0.5
+    same = report([(t, s, [3.0, 1.0, 0.0]) for t, s, _ in rows])
+    assert same["ambiguous"] and same["accuracy"] is None and same["c00"] == 0 and same["n"] == 4
+    none = report([r for r in rows if r[1] == "test"])
+    assert none["idx_a"] is None and none["accuracy"] is None and report([(0, "test", None)])["n"] == 1
+    assert report([])["n"] == 0
+
+
+def test_batches_and_masks(spark):
+    rows = spark.createDataFrame([(1, [1, 2, 3]), (2, [4]), (3, None), (4, [])], "id int, ids array<int>")
+    got = {r["id"]: (r["ids"], r["attention_mask"]) for r in T.batched(rows, left=True).collect()}
+    assert got == {1: ([1, 2, 3], [1, 1, 1]), 2: ([5, 5, 4], [0, 0, 1]), 3: (None, None), 4: ([5, 5, 5], [0, 0, 0])}
+    assert {r["id"]: r["ids"] for r in T.batched(rows, length=2).collect()}[1] == [1, 2]
+
+
+def test_increment_covariance():
+    e = np.array([[1.0, 0.0], [3.0, 0.0], [5.0, 0.0]])
+    assert np.allclose(series.increment_covariance(e, 0.5), [[5.0, 0.0], [0.0, 1.0]])

@@ -85,3 +85,19 @@ def test_reports(spark):
     b = reports.box(v, "g", "v").first()
     assert b["n"] == 10 and b["high"] == 9.0 and b["median"] == 5.5
     assert sum(r["n"] for r in reports.histogram(v, "g", "v", 0, 10, 5).collect()) == 10
+
+
+def test_fasta_last_of_a_header_wins(spark, tmp_path):
+    (tmp_path / "d.fasta").write_text(">a\nAA\n>b\nCC\n>a\nGG\n\nTT\n>c\n>a\nTA\n")
+    (tmp_path / "e.fasta").write_text(">a\nCA\n")
+    paths = [str(tmp_path / n) for n in ("d.fasta", "e.fasta", "no.fasta")]
+    with pytest.warns(UserWarning, match="no.fasta"):
+        rows = fasta.read_fasta(spark, paths, last=True)
+    assert sorted((r["file"][-7:], r["header"], r["sequence"]) for r in rows.collect()) == [("d.fasta", "a", "TA"), ("d.fasta", "b", "CC"), ("d.fasta", "c", ""), ("e.fasta", "a", "CA")]
+
+
+def test_labels_of_the_last_file_win(spark, tmp_path):
+    head = "epi_isl,Isolate_Id,matched,clade_raw,Clade,major_clade,Lineage,Genotype\n"
+    (tmp_path / "1.csv").write_text(head + "E1,,true,,x.1.2,,,\n" + "".join(f"F{i},,true,,y,,,\n" for i in range(2000)))
+    (tmp_path / "2.csv").write_text(head + "E1,,true,,z.1.2,,,\nE1,,true,,w.1.2,,,\n")
+    assert tables.read_labels(spark, str(tmp_path)).where("epi_isl = 'E1'").first()["clade"] == "w.1.2"

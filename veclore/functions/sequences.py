@@ -84,9 +84,10 @@ def major_label(major: Column, label: Column) -> Column:
     return F.coalesce(clean_label(major), F.substring_index(clean_label(label), ".", 2))
 
 
-def month_index(year: Column, month: Column) -> Column:
-    """Months since year 0, the month clipped to 1..12; NULL if either is."""
-    return F.when(month.isNotNull(), year * 12 + F.greatest(F.lit(1), F.least(F.lit(12), month)) - 1)
+def month_index(year: Column, month: Column, clip: bool = True, first: int = 0) -> Column:
+    """Months since year 0, the month clipped to 1..12 (or not); NULL if either is. ``first``: the number of January of year 0."""
+    inside = F.greatest(F.lit(1), F.least(F.lit(12), month)) if clip else month
+    return F.when(month.isNotNull(), year * 12 + inside - 1 + first)
 
 
 def month_label(index: Column) -> Column:

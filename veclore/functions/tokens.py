@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Ids of the letters (N also stands for unknown ones), of the structural tokens and of the subtypes.
@@ -41,6 +41,19 @@ def padded(ids: Column, length: int, left: bool = False) -> Column:
     return F.concat(fill, cut) if left else F.concat(cut, fill)
 
 
+def mask(ids: Column) -> Column:
+    """1 for each id, 0 for padding."""
+    return F.transform(ids, lambda i: (i != PAD).cast("int"))
+
+
+def batched(rows: DataFrame, ids: str = "ids", length: int | None = None, left: bool = False) -> DataFrame:
+    """``rows`` with ``ids`` padded (or cut) to ``length``, the longest of all rows if None, and their ``attention_mask``. NULL ids stay NULL."""
+    if length is None:
+        length = rows.agg(F.max(F.size(ids))).first()[0] or 0
+    same = F.when(F.col(ids).isNotNull(), padded(F.col(ids), length, left))
+    return rows.withColumn(ids, same).withColumn("attention_mask", mask(F.col(ids)))
+
+
 def budgeted(ha: Column, na: Column, budget: int, ha_share: float = 0.55, structural: int = 5) -> tuple[Column, Column]:
     """Prefixes of both segments that fit the budget: whole if they do, else 55 % of the free places to HA and the rest to NA."""
     free = budget - structural

@@ -77,6 +77,12 @@ def regular_covariance(e: np.ndarray, d: int, reg: float, kind: str = "full", in
     return (q + reg * np.eye(d)) * inflation
 
 
+def increment_covariance(e: np.ndarray, eps: float) -> np.ndarray:
+    """Covariance of increments plus ``eps`` on the diagonal, scaled by the mean variance where that is above 1."""
+    q = np.atleast_2d(np.cov(e.T))
+    return q + np.eye(len(q)) * eps * max(np.trace(q) / len(q), 1.0)
+
+
 def gaussian(e: np.ndarray, q: np.ndarray) -> tuple[float, float]:
     """(log density, squared Mahalanobis distance) of one error."""
     m = float(e @ np.linalg.solve(q, e))
@@ -84,8 +90,8 @@ def gaussian(e: np.ndarray, q: np.ndarray) -> tuple[float, float]:
 
 
 def rolling_forecasts(series: DataFrame, first_target: int, last_target: int, dims: list[int], penalty: float = 1e-3, reg: float = 1e-6, kind: str = "full", inflation: float = 1.0, group: str = "grp", month: str = "month_index", vector: str = "centroid") -> DataFrame:
-    """(group, dim, target, model, squared_error, absolute_error, distance, nll, m2): each target month forecast from the months before it
-    by persistence, velocity, VAR(1), VAR(2) and a Gaussian walk on the first ``dim`` elements of the monthly vectors.
+    """(group, dim, target, model, squared_error, absolute_error, distance, nll, m2, trace, logdet): each target month forecast from the months before it
+    by persistence, velocity, VAR(1), VAR(2), and Gaussian walks (covariance as asked for, and scaled to the increments) on the first ``dim`` elements of the monthly vectors.
 
     Every (group, target) pair is a group of its own, whose rows are the months up to the target: it is refitted from them alone.
     """
@@ -108,6 +114,7 @@ def rolling_forecasts(series: DataFrame, first_target: int, last_target: int, di
                 if len(one) >= 3:
                     step = np.array([b - a for a, b in one])
                     made["walk"] = (last + step.mean(axis=0), regular_covariance(step, d, reg, kind, inflation))
+                    made["increments"] = (last + step.mean(axis=0), increment_covariance(step, reg))
                 for name, pairs, source in (("var1", one, last), ("var2", two, np.concatenate([last, before]))):
                     if len(pairs) >= len(source) + 2:
                         a, b = np.array([q[0] for q in pairs]), np.array([q[1] for q in pairs])
@@ -116,18 +123,19 @@ def rolling_forecasts(series: DataFrame, first_target: int, last_target: int, di
                 for name, (guess, q) in made.items():
                     e = true - guess
                     nll, m2 = (None, None) if q is None else (lambda g: (-g[0], g[1]))(gaussian(e, q))
-                    rows.append((p.grp.iloc[0], d, target, name, float((e * e).mean()), float(np.abs(e).mean()), float(np.sqrt((e * e).sum())), nll, m2))
-        return pd.DataFrame(rows, columns=["grp", "dim", "target", "model", "squared_error", "absolute_error", "distance", "nll", "m2"])
+                    size = (None, None) if q is None else (float(np.trace(q)), float(np.linalg.slogdet(q)[1]))
+                    rows.append((p.grp.iloc[0], d, target, name, float((e * e).mean()), float(np.abs(e).mean()), float(np.sqrt((e * e).sum())), nll, m2, *size))
+        return pd.DataFrame(rows, columns=["grp", "dim", "target", "model", "squared_error", "absolute_error", "distance", "nll", "m2", "trace", "logdet"])
 
     kind_of = dict(held.dtypes)["grp"]
-    return past.groupBy("grp", "target").applyInPandas(forecast, f"grp {kind_of}, dim int, target int, model string, squared_error double, absolute_error double, distance double, nll double, m2 double")
+    return past.groupBy("grp", "target").applyInPandas(forecast, f"grp {kind_of}, dim int, target int, model string, squared_error double, absolute_error double, distance double, nll double, m2 double, trace double, logdet double")
 
 
 def forecast_report(errors: DataFrame) -> DataFrame:
-    """Per group, dimension and model: RMSE, MAE, mean distance, ratio to persistence, mean NLL, coverage of the 50, 90 and 95 % regions and the summed calibration error."""
+    """Per group, dimension and model: RMSE, MAE, mean distance, ratio to persistence, mean and total NLL, mean trace and log-determinant, coverage of the 50, 90 and 95 % regions and the summed calibration error."""
     table = F.create_map(*(x for d, q in CHI2.items() for x in (F.lit(d), F.array(*map(F.lit, q)))))
     inside = [F.avg(F.when(F.col("m2").isNotNull(), (F.col("m2") <= table[F.col("dim")][i]).cast("double"))).alias(f"cover_{int(p * 100)}") for i, p in enumerate(NOMINAL)]
-    out = errors.groupBy("grp", "dim", "model").agg(F.count("*").alias("targets"), F.sqrt(F.avg("squared_error")).alias("rmse"), F.avg("absolute_error").alias("mae"), F.avg("distance").alias("mean_distance"), F.avg("nll").alias("mean_nll"), *inside)
+    out = errors.groupBy("grp", "dim", "model").agg(F.count("*").alias("targets"), F.sqrt(F.avg("squared_error")).alias("rmse"), F.avg("absolute_error").alias("mae"), F.avg("distance").alias("mean_distance"), F.avg("nll").alias("mean_nll"), F.sum("nll").alias("total_nll"), F.avg("trace").alias("mean_trace"), F.avg("logdet").alias("mean_logdet"), *inside)
     base = F.max(F.when(F.col("model") == "persistence", F.col("rmse"))).over(Window.partitionBy("grp", "dim"))
     off = sum((F.abs(F.col(f"cover_{int(p * 100)}") - p) for p in NOMINAL), F.lit(0.0))
     return out.withColumn("ratio", F.col("rmse") / F.nullif(base, F.lit(0.0))).withColumn("improvement", 1 - F.col("ratio")).withColumn("calibration_error", off)

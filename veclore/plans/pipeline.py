@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veclore.functions import sequences as S
-from veclore.operators import ranking, series, stats
+from veclore.functions import vectors as V
+from veclore.operators import ranking, ranks, series, stats
 from veclore.operators.records import representatives
 from veclore.operators.sampling import stratified
 from veclore.plans.base import CACHED_SQL, RECORDS_SQL, acc_sql, cached, clean_sql, records
+from veclore.plans.sequences import _CODON, _HAM, _MM
 from veclore.runtime import place, written
 from veclore.sources import fasta, reports
 from veclore.sources import tables as files
@@ -26,7 +28,7 @@ def fasta_pairs(spark: SparkSession, folder: str) -> DataFrame:
         paths.append(place(spark, f"fasta-{segment}"))
         head = F.concat_ws("|", "id", F.replace(F.coalesce("strain_name", F.lit("?")), F.lit(" "), F.lit("_")), F.concat(F.lit("A_/_"), F.coalesce("grp", F.lit("?"))), date, F.lit(mark))
         fasta.write_fasta(r.where(f"{column} != ''").select(head.alias("header"), F.col(column).alias("sequence")), paths[-1])
-    rows = fasta.parsed_headers(fasta.read_fasta(spark, [*paths, paths[0] + "-missing"]))
+    rows = fasta.parsed_headers(fasta.read_fasta(spark, [*paths, paths[0] + "-missing"], last=True))
     out = rows.groupBy("epi_isl").agg(*(F.max(c).alias(c) for c in ("strain_name", "subtype", "year", "month", "day")), *(F.max(F.when(F.col("segment") == s, F.md5("sequence"))).alias(s.lower()) for s in ("HA", "NA")))
     return out
 
@@ -158,18 +160,35 @@ def _windows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return w, rows
 
 
+#: Bins of months between a candidate and its target.
+GAPS = (("months_0", 0, 0), ("months_1_3", 1, 3), ("months_4_12", 4, 12), ("months_13", 13, 100_000))
+
+
 def candidate_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates of each window under five policies: how many, distinct contents, month distances."""
+    """Candidates of each window under five policies: how many, distinct contents, those of the context,
+    range of lengths, and how many lie how many months away."""
     w, rows = _windows(spark, folder)
     w, out = written(w, "windows"), None
     for policy in ranking.POLICIES:
-        c = ranking.candidates(w, rows, policy, 10)
-        one = c.groupBy("grp").agg(F.countDistinct("window_id").alias("windows"), F.count("*").alias("candidates"), F.countDistinct("window_id", "fingerprint").alias("contents"), F.count_if("is_target").alias("targets"), F.max("month_gap").alias("farthest"))
+        c = ranking.candidates(w, rows, policy, 10).join(w.select("window_id", "context_ids"), "window_id")
+        gaps = [F.count_if(F.col("month_gap").between(low, high)).alias(name) for name, low, high in GAPS]
+        one = c.groupBy("grp").agg(F.countDistinct("window_id").alias("windows"), F.count("*").alias("candidates"), F.countDistinct("window_id", "fingerprint").alias("contents"), F.count_if("is_target").alias("targets"), F.count_if(F.array_contains("context_ids", F.col("candidate_id"))).alias("of_context"), F.min("length").alias("shortest"), F.max("length").alias("longest"), F.max("month_gap").alias("farthest"), *gaps)
         one = one.select(F.lit(policy).alias("policy"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+_CANDIDATES_SQL = f"""{RECORDS_SQL}, rw AS (SELECT id, grp, month_index m, len(ha) l, ha, na, sha256(coalesce(ha, '') || '|' || coalesce(na, '')) f FROM recs WHERE grp IS NOT NULL AND month_index IS NOT NULL AND ha IS NOT NULL),
+kept AS (SELECT grp, m, min(id) t FROM rw GROUP BY 1, 2 HAVING count(*) >= 5), lg AS (SELECT grp, m tm, t, lag(t, 1) OVER g c1, lag(t, 2) OVER g c2, lag(t, 3) OVER g c3 FROM kept WINDOW g AS (PARTITION BY grp ORDER BY m)),
+wn AS (SELECT lg.*, r.l tl, r.f tf FROM lg JOIN rw r ON r.id = t WHERE c3 IS NOT NULL), po AS (SELECT unnest({list(ranking.POLICIES)}) AS policy), one AS (SELECT grp, m, f, min(id) id, any_value(l) l FROM rw GROUP BY 1, 2, 3),
+nr AS (SELECT policy, wn.grp, tm, c1, c2, c3, id, false tgt, f, l, abs(m - tm) gap FROM wn JOIN one ON one.grp = wn.grp CROSS JOIN po WHERE f <> tf AND id NOT IN (c1, c2, c3)
+  AND CASE policy WHEN 'same_month' THEN m = tm WHEN 'near' THEN abs(m - tm) <= 3 WHEN 'past' THEN m < tm WHEN 'length' THEN abs(l - tl) <= 0.03::DOUBLE * tl ELSE true END UNION ALL SELECT policy, grp, tm, c1, c2, c3, t, true, tf, tl, 0 FROM wn, po),
+ea AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY policy, grp, tm, f ORDER BY NOT tgt, gap, sha1('0|' || id::VARCHAR), id) = 1),
+ca AS (SELECT * FROM ea QUALIFY row_number() OVER (PARTITION BY policy, grp, tm ORDER BY tgt DESC, gap, sha1('0|' || id::VARCHAR), id) <= 10)"""
+AUDIT_SQL = f"""WITH {_CANDIDATES_SQL} SELECT policy, grp, count(DISTINCT tm) windows, count(*) candidates, count(DISTINCT (tm, f)) contents, count(*) FILTER (tgt) targets, count(*) FILTER (id IN (c1, c2, c3)) of_context, min(l)::INT shortest, max(l)::INT longest, max(gap)::INT farthest,
+  {", ".join(f"count(*) FILTER (gap BETWEEN {low} AND {high}) {name}" for name, low, high in GAPS)} FROM ca GROUP BY 1, 2"""
+
+
 def candidate_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates near the target's month ranked by their sequence distance to the record before it."""
     w, rows = _windows(spark, folder)
@@ -179,7 +198,38 @@ def candidate_ranks(spark: SparkSession, folder: str) -> DataFrame:
     last = w.select("window_id", F.get("context_ids", F.lit(0)).alias("last_id"))
     both = c.join(last, "window_id").join(seq.select(F.col("id").alias("candidate_id"), F.col("ha").alias("ha_c"), F.col("na").alias("na_c")), "candidate_id").join(seq.select(F.col("id").alias("last_id"), F.col("ha").alias("ha_l"), F.col("na").alias("na_l")), "last_id")
     scored = both.withColumn("mean_nll", S.hamming(F.col("ha_c"), F.col("ha_l"), None))
-    return ranking.rank_report(ranking.target_ranks(scored), ["grp"])
+    out = ranking.rank_report(ranking.target_ranks(scored), ["grp"])
+    return out.select("grp", "windows", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
+
+
+RANKS_SQL = f"""WITH {_CANDIDATES_SQL}, sc AS (SELECT ca.grp, tm, tgt, id, {_HAM("a.ha", "b.ha", False)} s FROM ca JOIN rw a USING (id) JOIN rw b ON b.id = c1 WHERE policy = 'near'),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp, tm ORDER BY s IS NULL, s, id) r, count(*) OVER (PARTITION BY grp, tm) n FROM sc),
+t AS (SELECT *, CASE WHEN n > 1 THEN (r - 1) / (n - 1) ELSE 0 END nr, list_sum(list_transform(range(1, n + 1), lambda i: 1 / i)) / n h FROM r WHERE tgt)
+SELECT grp, count(*) windows, round(avg(r), 6) mean_rank, round(quantile_cont(r::DOUBLE, 0.5), 6) median_rank, round(avg(nr), 6) mean_normalised, round(avg(1 / r), 6) mrr, round(avg((r <= 1)::INT), 6) top1, round(avg(CASE WHEN n >= 5 THEN (r <= 5)::INT END), 6) top5,
+  round(avg(CASE WHEN n >= 10 THEN (r <= 10)::INT END), 6) top10, round(avg(h), 6) random_mrr FROM t GROUP BY 1"""
+
+
+def window_mismatches(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each window, the record before the target read as its forecast: amino acids that differ, compared length and
+    their ratio, per segment. Forecasts of at most 100 letters give -1, 0 and 0; targets without both segments are left out."""
+    w, _ = _windows(spark, folder)
+    seq = records(spark, folder).select("id", "ha", "na")
+    made, real = (seq.select(F.col("id").alias(k), F.col("ha").alias(f"ha_{k[0]}"), F.col("na").alias(f"na_{k[0]}")) for k in ("made_id", "target_id"))
+    both = w.select("window_id", "grp", "target_month", "target_id", F.get("context_ids", F.lit(0)).alias("made_id")).join(real.where("ha_t != '' and na_t != ''"), "target_id").join(made, "made_id")
+    for s in ("ha", "na"):
+        long = F.length(f"{s}_m") > 100
+        for side in ("m", "t"):
+            both = both.withColumn(f"{s}_p{side}", F.when(long, S.translated(F.col(f"{s}_{side}"), True)))
+        wrong, size = S.mismatches(F.col(f"{s}_pm"), F.col(f"{s}_pt")), F.least(F.length(f"{s}_pm"), F.length(f"{s}_pt"))
+        both = both.withColumn(f"{s}_mismatch", F.coalesce(wrong, F.lit(-1))).withColumn(f"{s}_length", F.coalesce(size, F.lit(0)))
+        both = both.withColumn(f"{s}_rate", F.when(F.col(f"{s}_length") > 0, F.round(F.col(f"{s}_mismatch") / F.col(f"{s}_length"), 6)).otherwise(0.0)).withColumn(f"made_{s}_len", F.coalesce(F.length(f"{s}_m"), F.lit(0)))
+    return both.select("window_id", "grp", "target_month", *(f"{s}_{c}" for s in ("ha", "na") for c in ("mismatch", "length", "rate")), "made_ha_len", "made_na_len")
+
+
+_PROTEIN = lambda c: f"CASE WHEN made > 100 THEN split_part({_CODON(f'replace({c}, chr(78), chr(65))')}, '*', 1) END"
+WINDOW_MISMATCH_SQL = f"""WITH {_CANDIDATES_SQL}, sg AS (SELECT wn.grp, tm, unnest(['ha', 'na']) s, unnest([m.ha, m.na]) x, unnest([t.ha, t.na]) y FROM wn JOIN rw t ON t.id = wn.t JOIN rw m ON m.id = c1 WHERE t.ha <> '' AND t.na <> ''),
+sz AS (SELECT *, coalesce(len(x), 0) made FROM sg), p AS (SELECT grp, tm, s, made, {_PROTEIN("x")} x, {_PROTEIN("y")} y FROM sz), q AS (SELECT *, CASE WHEN least(len(x), len(y)) > 0 THEN {_MM("x", "y")} ELSE -1 END mm, CASE WHEN made > 100 THEN coalesce(least(len(x), len(y)), 0) ELSE 0 END n FROM p)
+SELECT grp || '/' || tm window_id, grp, tm target_month, {", ".join(f"max(mm) FILTER (s = '{s}')::INT {s}_mismatch, max(n) FILTER (s = '{s}')::INT {s}_length, max(CASE WHEN n > 0 THEN round(mm / n, 6) ELSE 0 END) FILTER (s = '{s}') {s}_rate, max(made) FILTER (s = '{s}')::INT made_{s}_len" for s in ("ha", "na"))} FROM q GROUP BY grp, tm"""
 
 
 def event_ranks(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,12 +247,18 @@ SELECT 'all' grp, count(*) windows, round(avg(r), 6) mean_rank, round(quantile_c
   round(avg(CASE WHEN n >= 10 THEN (r <= 10)::INT END), 6) top10, round(avg(h), 6) random_mrr FROM t"""
 
 
+def _distances(rows: DataFrame, groups: tuple[str, ...]) -> list[Column]:
+    """Squared distances of ``vector`` to the mean of each group, NULL for a group without rows. The means, a number per group and
+    dimension, come to the driver and go back as literals."""
+    flat = rows.where(F.col("grp").isin(*groups)).select("grp", F.posexplode("vector").alias("pos", "x")).groupBy("grp", "pos").agg(F.avg("x").alias("m"))
+    means = {r["grp"]: [v["m"] for v in r["v"]] for r in flat.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("v")).collect()}
+    return [V.euclidean(F.col("vector"), F.array(*map(F.lit, means[g]))) ** 2 if g in means else F.lit(None).cast("double") for g in groups]
+
+
 def subtype_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """H1N1 against H3N2 by the nearer group mean; nearly equal distances are unknown."""
     rows = cached(spark, folder).where("grp in ('H1N1', 'H3N2')")
-    flat = rows.select("id", "grp", F.posexplode("vector").alias("pos", "x"))
-    means = flat.groupBy("pos").agg(F.avg(F.when(F.col("grp") == "H1N1", F.col("x"))).alias("a"), F.avg(F.when(F.col("grp") == "H3N2", F.col("x"))).alias("b"))
-    d = flat.join(means, "pos").groupBy("id", "grp").agg(F.sum((F.col("x") - F.col("a")) ** 2).alias("da"), F.sum((F.col("x") - F.col("b")) ** 2).alias("db"))
+    d = rows.select("grp", *(c.alias(f"d{n}") for c, n in zip(_distances(rows, ("H1N1", "H3N2")), "ab")))
     ratio = F.col("da") / F.nullif(F.col("db"), F.lit(0.0))
     answered = d.select((F.col("grp") == "H3N2").cast("int").alias("true_class"), F.when(ratio < 0.9, 0).when(ratio > 1.1, 1).alias("predicted"))
     out = ranking.classification(answered)
@@ -216,6 +272,30 @@ s AS (SELECT *, (coalesce(2 * c00 / nullif(c00 + c10 + t0, 0), 0) + coalesce(2 *
 SELECT n, c00, c01, c10, c11, round((c00 + c11) / n, 6) accuracy, round(f, 6) macro_f1, round(u / n, 6) unknown_share, CASE WHEN f > 0.9 THEN 'good' WHEN f > 0.6 THEN 'fair' ELSE 'weak' END AS label FROM s"""
 
 
+CLASSES = ("H1N1", "H3N2", "H1N2")
+
+
+def calibrated_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """H1N1 against H3N2 by three scores, the nearness to the means of three groups. Means and the score that stands for each
+    class come from one half of the rows, the report from the other."""
+    rows = cached(spark, folder).where(F.col("grp").isin(*CLASSES)).select("id", "grp", "vector")
+    rows = written(rows.join(ranks.half_split(rows.select("grp", "id"), ["grp"], "id", 42).select("id", "split"), "id"), "halves")
+    logits = F.array(*(-d for d in _distances(rows.where("split = 'cal'"), CLASSES)))
+    scored = rows.where("grp in ('H1N1', 'H3N2')").select((F.col("grp") == "H3N2").cast("int").alias("true_class"), "split", logits.alias("logits"))
+    out = ranking.calibrated_report(written(scored, "scored"))
+    return out.select(*(F.round(c, 6).alias(c) if c in ("accuracy", "macro_f1", "unknown_share", "mean_logit_std") else F.col(c) for c in out.columns))
+
+
+CALIBRATED_SQL = f"""WITH {CACHED_SQL}, h AS (SELECT id, grp, vector, row_number() OVER (PARTITION BY grp ORDER BY sha1('42|' || id::VARCHAR), id) <= count(*) OVER (PARTITION BY grp) // 2 cal FROM cached WHERE grp IN {CLASSES}),
+f AS (SELECT id, grp, cal, unnest(vector) x, unnest(range(0, 64)) p FROM h), m AS (SELECT grp g, p, avg(x) m FROM f WHERE cal GROUP BY 1, 2),
+d AS (SELECT id, grp, cal, g, -sum((x - m) ** 2) l FROM f JOIN m ON m.p = f.p WHERE grp <> 'H1N2' GROUP BY 1, 2, 3, 4), l AS (SELECT id, (grp = 'H3N2')::INT t, cal, {", ".join(f"max(l) FILTER (g = '{g}') l{i}" for i, g in enumerate(CLASSES))} FROM d GROUP BY 1, 2, 3),
+k AS (SELECT t, CASE WHEN avg(l0) >= avg(l1) AND avg(l0) >= avg(l2) THEN 0 WHEN avg(l1) >= avg(l2) THEN 1 ELSE 2 END i FROM l WHERE cal GROUP BY 1), ab AS (SELECT (SELECT i FROM k WHERE t = 0) a, (SELECT i FROM k WHERE t = 1) b),
+z AS (SELECT t, a, b, CASE WHEN a <> b THEN CASE WHEN [l0, l1, l2][a + 1] >= [l0, l1, l2][b + 1] THEN 0 ELSE 1 END END p, CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END NOT IN (a, b) u, list_stddev_pop([l0, l1, l2]) sd FROM l, ab WHERE NOT cal),
+c AS (SELECT any_value(a) idx_a, any_value(b) idx_b, count(*) n, count(*) FILTER (t = 0 AND p = 0) c00, count(*) FILTER (t = 0 AND p = 1) c01, count(*) FILTER (t = 1 AND p = 0) c10, count(*) FILTER (t = 1 AND p = 1) c11, count(*) FILTER (u) unknown, avg(sd) sd FROM z)
+SELECT idx_a, idx_b, idx_a = idx_b AS ambiguous, n, c00, c01, c10, c11, CASE WHEN idx_a <> idx_b THEN round((c00 + c11) / n, 6) END accuracy,
+  CASE WHEN idx_a <> idx_b THEN round((coalesce(2 * c00 / nullif(2 * c00 + c01 + c10, 0), 0) + coalesce(2 * c11 / nullif(2 * c11 + c01 + c10, 0), 0)) / 2, 6) END macro_f1, unknown, round(unknown / n, 6) unknown_share, round(sd, 6) mean_logit_std FROM c"""
+
+
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream. It is copied to a folder of its own first: file streams read folders. All its files are
     one batch: they are in no order of time, and between batches the watermark would drop rows."""
@@ -257,8 +337,14 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("n").agg(F.count("*").alias("sessions"))
 
 
-QUERIES = {f.__name__: f for f in (fasta_pairs, dataset_roundtrip, label_file, resumed_cache, checked_vectors, table_digests, sequence_lengths, year_counts, report_lines, length_histogram, length_boxes, stratified_years, candidate_audit, candidate_ranks, event_ranks, subtype_classifier, stream_distinct, stream_windows, stream_sessions)}
+SESSIONS_SQL = """WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END b FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) s FROM b), x AS (SELECT count(*) n, max(ts) + INTERVAL 30 MINUTE e FROM s GROUP BY user_id, s)
+SELECT n, count(*) sessions FROM x WHERE e <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1"""
+
+
+QUERIES = {f.__name__: f for f in (fasta_pairs, dataset_roundtrip, label_file, resumed_cache, checked_vectors, table_digests, sequence_lengths, year_counts, report_lines, length_histogram, length_boxes, stratified_years, candidate_audit, candidate_ranks, window_mismatches, event_ranks, subtype_classifier, calibrated_classifier, stream_distinct, stream_windows, stream_sessions)}
 ORACLES = {
     "fasta_pairs": FASTA_SQL, "dataset_roundtrip": DATASET_SQL, "label_file": LABEL_FILE_SQL, "resumed_cache": RESUMED_SQL, "checked_vectors": CHECKED_SQL, "sequence_lengths": LENGTHS_SQL, "year_counts": YEARS_SQL, "report_lines": REPORT_SQL, "length_histogram": HISTOGRAM_SQL, "length_boxes": BOX_SQL,
     "stratified_years": STRATIFIED_SQL, "event_ranks": EVENT_RANKS_SQL, "subtype_classifier": CLASSIFIER_SQL, "stream_distinct": STREAM_DISTINCT_SQL, "stream_windows": STREAM_WINDOWS_SQL,
+    "stream_sessions": SESSIONS_SQL, "candidate_audit": AUDIT_SQL, "candidate_ranks": RANKS_SQL, "window_mismatches": WINDOW_MISMATCH_SQL, "calibrated_classifier": CALIBRATED_SQL,
 }

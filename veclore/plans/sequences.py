@@ -35,17 +35,19 @@ FROM (SELECT *, regexp_extract(strain_name, '/((?:19|20)\d{2})$', 1) y4, regexp_
 
 
 def date_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts of a written date, defaults of a bare year, month number and label; counted by date."""
+    """Parts of a written date, defaults of a bare year, month number in its four forms, and label; counted by date."""
     r = table(spark, folder, "records")
     text = F.when(F.col("year").isNotNull() & F.col("day").isNotNull(), F.format_string("%d-%02d-%02d", "year", "month", "day")).otherwise(F.col("year").cast("string"))
     d = r.select(text.alias("d"))
     parts = d.select(*(S.date_part(F.col("d"), p).alias(p) for p in ("year", "month", "day")), S.date_imputed(F.col("d")).alias("imputed"))
     m = S.month_index(F.col("year"), F.col("month"))
-    return parts.groupBy("year", "month", "day", "imputed", m.alias("month_index"), S.month_label(m).alias("label")).agg(F.count("*").alias("n"))
+    forms = [S.month_index(F.col("year"), F.col("month"), clip, first).alias(name) for name, clip, first in (("clipped_from_1", True, 1), ("plain_from_0", False, 0), ("plain_from_1", False, 1))]
+    return parts.groupBy("year", "month", "day", "imputed", m.alias("month_index"), *forms, S.month_label(m).alias("label")).agg(F.count("*").alias("n"))
 
 
 DATE_FIELDS_SQL = """
-SELECT year, month, day, imputed, CASE WHEN month IS NOT NULL THEN year * 12 + greatest(1, least(12, month)) - 1 END month_index,
+SELECT year, month, day, imputed, CASE WHEN month IS NOT NULL THEN year * 12 + greatest(1, least(12, month)) - 1 END month_index, CASE WHEN month IS NOT NULL THEN year * 12 + greatest(1, least(12, month)) END clipped_from_1,
+  year * 12 + month - 1 plain_from_0, year * 12 + month plain_from_1,
   CASE WHEN month IS NOT NULL THEN printf('%04d-%02d', year, greatest(1, least(12, month))) END AS label, count(*) n FROM (
   SELECT year, CASE WHEN year IS NOT NULL THEN CASE WHEN day IS NOT NULL THEN month ELSE 6 END END AS month, CASE WHEN year IS NOT NULL THEN coalesce(day, 15) END AS day,
   CASE WHEN year IS NOT NULL THEN day IS NULL END imputed FROM records) GROUP BY ALL"""
@@ -103,20 +105,20 @@ CONTENT_SQL = f"WITH {RECORDS_SQL} SELECT id, sha1(coalesce(ha, '') || '|' || co
 
 
 def token_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Encoded length, padded sum, decoded text, budgeted lengths, and whether a start codon's tokens occur."""
+    """Encoded length, padded sum and mask, decoded text, budgeted lengths, and whether a start codon's tokens occur."""
     r = records(spark, folder)
     ids = T.encoded_record(F.col("ha"), F.col("na"), F.concat(F.lit("<"), "grp", F.lit(">")))
     e = r.select("id", "ha", "na", ids.alias("ids"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     ha, na = T.budgeted(F.col("ha"), F.col("na"), 2048)
     start = F.array(F.lit(0), F.lit(3), F.lit(2))
-    return e.select("id", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("first"), total(T.padded(F.col("ids"), 4096)).alias("padded"), total(T.padded(F.col("ids"), 1024, left=True)).alias("cut"), F.md5(T.decoded(F.col("ids"))).alias("decoded"), F.length(ha).alias("ha_budget"), F.length(na).alias("na_budget"), S.contains_run(F.col("ids"), start).alias("has_start"))
+    return e.select("id", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("first"), total(T.padded(F.col("ids"), 4096)).alias("padded"), total(T.mask(T.padded(F.col("ids"), 4096))).alias("mask"), total(T.padded(F.col("ids"), 1024, left=True)).alias("cut"), F.md5(T.decoded(F.col("ids"))).alias("decoded"), F.length(ha).alias("ha_budget"), F.length(na).alias("na_budget"), S.contains_run(F.col("ids"), start).alias("has_start"))
 
 
 _SUBTYPES = ", ".join(f"'{k[1:-1]}': {v}" for k, v in T.SUBTYPE_IDS.items())
 _IDS = lambda c: f"list_transform(CASE WHEN len({c}) > 0 THEN string_split({c}, '') ELSE [] END, lambda x: CASE x WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END)"
 TOKENS_SQL = f"""WITH {RECORDS_SQL}, e AS (SELECT id, ha, na, list_concat(list_concat(list_concat([coalesce(MAP {{{_SUBTYPES}}}[grp], 4), 8], {_IDS("ha")}), list_concat([6, 9], {_IDS("na")})), [7]) ids FROM recs)
-SELECT id, len(ids)::INT n, ids[1] AS first, (list_sum(list_slice(ids, 1, 4096)) + greatest(0, 4096 - len(ids)) * 5)::INT padded, (list_sum(list_slice(ids, 1, 1024)) + greatest(0, 1024 - len(ids)) * 5)::INT cut,
+SELECT id, len(ids)::INT n, ids[1] AS first, (list_sum(list_slice(ids, 1, 4096)) + greatest(0, 4096 - len(ids)) * 5)::INT padded, least(4096, len(ids))::INT AS mask, (list_sum(list_slice(ids, 1, 1024)) + greatest(0, 1024 - len(ids)) * 5)::INT cut,
   md5(translate(array_to_string(list_filter(ids, lambda x: x < 5), ''), '01234', 'ACGTN')) decoded,
   CASE WHEN len(ha) + len(na) <= 2043 THEN len(ha) WHEN ha IS NOT NULL THEN least(len(ha), 1123) END ha_budget, CASE WHEN len(ha) + len(na) <= 2043 THEN len(na) WHEN na IS NOT NULL THEN least(len(na), 920) END na_budget,
   contains(',' || array_to_string(ids, ',') || ',', ',0,3,2,') has_start FROM e"""

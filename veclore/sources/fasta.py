@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veclore.functions.sequences import date_part, header_field, segment_name, subtype
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that exist, on any file system Spark knows."""
+    """The paths that exist, on any file system Spark knows; a warning names those that don't."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     out = []
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         if path.getFileSystem(conf).exists(path):
             out.append(p)
+        else:
+            warnings.warn(f"left out, not found: {p}", stacklevel=3)
     return out
 
 
-def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def file_place() -> Column:
+    """Where a row of a text or CSV file stands: it orders the rows of a file, and files by name, however Spark packs them into tasks."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_fasta(spark: SparkSession, paths: str | list[str], last: bool = False) -> DataFrame:
     """(file, header, sequence): headers trimmed, bodies joined and in upper case. Missing paths are left out; none gives an empty frame.
 
     The reader splits at line ends that are followed by ``>``; undecodable bytes become replacement signs.
+    ``last``: of records of a file with the same header only the last, by the place in the file.
     """
     held = existing(spark, [paths] if isinstance(paths, str) else list(paths))
     if not held:
         return spark.createDataFrame([], "file string, header string, sequence string")
-    raw = spark.read.option("lineSep", "\n>").text(held).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = spark.read.option("lineSep", "\n>").text(held).select(F.col("_metadata.file_path").alias("file"), "value", file_place().alias("place"))
     parts = F.split(F.regexp_replace("value", r"^\s*>", ""), r"\r?\n", 2)
     header = F.trim(F.regexp_replace(F.get(parts, F.lit(0)), r"\r", ""))
     body = F.upper(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", ""))
-    return raw.select("file", header.alias("header"), body.alias("sequence")).where("header != ''")
+    rows = raw.select("file", header.alias("header"), body.alias("sequence"), "place").where("header != ''")
+    if last:
+        rows = rows.groupBy("file", "header").agg(F.max_by("sequence", "place").alias("sequence"))
+    return rows.select("file", "header", "sequence")
 
 
 def parsed_headers(records: DataFrame, header: str = "header") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veclore.functions.sequences import clean_label, major_label
+from veclore.sources.fasta import file_place
 
 CACHE_COLUMNS = ("id", "embeddings", "years", "months", "types")
 LABEL_SCHEMA = "epi_isl string, Isolate_Id string, matched string, clade_raw string, Clade string, major_clade string, Lineage string, Genotype string"
@@ -45,9 +46,9 @@ def append_new(new: DataFrame, path: str, key: str = "id") -> None:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label CSV: aliases of columns resolved, null tokens cleaned, the last line of a key wins."""
+    """Label CSV: aliases of columns resolved, null tokens cleaned, the last line of a key wins (of several files: of the last by name)."""
     raw = spark.read.schema(LABEL_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
-    return resolved_labels(raw.withColumn("at", F.monotonically_increasing_id()), "at")
+    return resolved_labels(raw.withColumn("at", file_place()), "at")
 
 
 def resolved_labels(raw: DataFrame, order: str) -> DataFrame:
