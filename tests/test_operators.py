@@ -307,3 +307,21 @@ def test_batches_and_masks(spark):
 def test_increment_covariance():
     e = np.array([[1.0, 0.0], [3.0, 0.0], [5.0, 0.0]])
     assert np.allclose(series.increment_covariance(e, 0.5), [[5.0, 0.0], [0.0, 1.0]])
+
+
+def test_quantiles_equal_numpy(spark):
+    """Ties, one hot value, groups of one and two rows, a NULL group, missing and infinite values."""
+    rng = np.random.default_rng(6)
+    groups = {"a": [7.0] * 300 + list(rng.normal(size=400)), "b": [1.5], "c": [2.0, -3.0], None: list(rng.integers(0, 5, 50).astype(float)), "e": [float("inf"), 1.0, 2.0]}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("f", None)]
+    frame = spark.createDataFrame(rows, "grp string, v double")
+    shares = {"p05": 0.05, "p50": 0.5, "p90": 0.9, "low": 0.0, "high": 1.0}
+    got = {r["grp"]: r for r in ranks.quantiles(frame, ["grp"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for g in ("a", "b", "c", None):
+        assert all(abs(got[g][k] - np.quantile(groups[g], q)) < 1e-9 for k, q in shares.items()), g
+    assert got["e"]["p50"] == 2.0
+    few = {r["grp"]: r for r in stats.describe(frame.where("grp != 'e'"), ["grp"], F.col("v"), {"p05": 0.05, "p50": 0.5}, (1,)).collect()}
+    many = {r["grp"]: r for r in stats.describe(frame.where("grp != 'e'"), ["grp"], F.col("v"), {"p05": 0.05, "p50": 0.5}, (1,), continuous=True).collect()}
+    assert few.keys() == many.keys() and all(np.allclose(few[g][1:], many[g][1:]) for g in few)
+    assert ranks.quantiles(frame.where("false"), ["grp"], "v", shares).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+
 def hash_order(key: Column, seed: int | str = 0) -> Column:
     """A reproducible random order: sha1 of seed and id, the same in any SQL engine."""
     return F.sha1(F.concat(F.lit(f"{seed}|"), key.cast("string")))
@@ -17,22 +18,41 @@ def _same(group: list[str], left: str, right: str) -> Column:
     return functools.reduce(Column.__and__, [F.col(f"{left}.{g}").eqNullSafe(F.col(f"{right}.{g}")) for g in group], F.lit(True))
 
 
-def average_ranks(rows: DataFrame, group: list[str], value: str, buckets: int = 64, name: str = "rank") -> DataFrame:
-    """``rows`` with the average rank (ties share it) of ``value`` in its group; NULL values get none.
+def _places(rows: DataFrame, group: list[str], value: str, buckets: int = 64) -> DataFrame:
+    """(group, value, __n, __upto, __total) of each distinct value: its rows, the rows up to it, and those of the group.
 
-    Ranks are counted on the distinct values and how often each occurs, so ties, however many, are one row. The group's
-    quantiles cut its distinct values into buckets; running sums inside a bucket are shifted by the rows of the lower ones.
+    The group's quantiles cut its distinct values into buckets; running sums inside a bucket are shifted by the rows of the
+    lower ones. Ties, however many, are one row.
     """
-    valued = rows.where(F.col(value).isNotNull())
-    counts = valued.groupBy(*group, value).agg(F.count("*").alias("__n"))
+    counts = rows.groupBy(*group, value).agg(F.count("*").alias("__n"))
     cuts = counts.groupBy(*group).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 2000).alias("__cuts"))
     placed = counts.alias("r").join(cuts.alias("c"), _same(group, "r", "c")).select("r.*", F.size(F.filter("c.__cuts", lambda x: x < F.col(f"r.{value}"))).alias("__bucket"))
     sizes = placed.groupBy(*group, "__bucket").agg(F.sum("__n").alias("__rows"))
     below = F.sum("__rows").over(Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.withColumn("__below", F.coalesce(below, F.lit(0))).drop("__rows")
+    sizes = sizes.withColumn("__below", F.coalesce(below, F.lit(0))).withColumn("__total", F.sum("__rows").over(Window.partitionBy(*group))).drop("__rows")
     upto = F.sum("__n").over(Window.partitionBy(*group, "__bucket").orderBy(value))
-    ranked = placed.withColumn("__upto", upto).alias("p").join(sizes.alias("s"), _same([*group, "__bucket"], "p", "s"))
-    ranked = ranked.select(*(F.col(f"p.{c}") for c in (*group, value)), (F.col("__below") + F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(name))
+    ranked = placed.withColumn("__in", upto).alias("p").join(sizes.alias("s"), _same([*group, "__bucket"], "p", "s"))
+    return ranked.select(*(F.col(f"p.{c}") for c in (*group, value)), "__n", (F.col("__below") + F.col("__in")).alias("__upto"), "__total")
+
+
+def quantiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column per share): exact interpolated quantiles of the values of a group, NULL and NaN left out. No task holds the
+    values of a group: those on either side of each place are picked by their running counts. Groups without values have no row."""
+    held = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, F.col(value).cast("double").alias("__v"))
+    place = {k: (F.col("__total") - 1) * F.lit(float(q)) for k, q in shares.items()}
+    at = lambda p: F.max(F.when((F.col("__upto") - F.col("__n") <= p) & (p < F.col("__upto")), F.col("__v")))
+    ends = [c for k in shares for c in (at(F.floor(place[k])).alias(f"__a_{k}"), at(F.ceil(place[k])).alias(f"__b_{k}"))]
+    found = _places(held, group, "__v").groupBy(*group).agg(F.max("__total").alias("__total"), *ends)
+    return found.select(*group, *((F.col(f"__a_{k}") + (F.col(f"__b_{k}") - F.col(f"__a_{k}")) * (place[k] - F.floor(place[k]))).alias(k) for k in shares))
+
+
+def average_ranks(rows: DataFrame, group: list[str], value: str, buckets: int = 64, name: str = "rank") -> DataFrame:
+    """``rows`` with the average rank (ties share it) of ``value`` in its group; NULL values get none.
+
+    Ranks are counted on the distinct values and how often each occurs (``_places``).
+    """
+    valued = rows.where(F.col(value).isNotNull())
+    ranked = _places(valued, group, value, buckets).select(*group, value, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(name))
     return valued.alias("r").join(ranked.alias("k"), _same([*group, value], "r", "k")).select("r.*", name)
 
 

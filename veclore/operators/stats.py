@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,17 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veclore.operators import ranks
 from veclore.runtime import written
 
 
-def describe(rows: DataFrame, group: list[str], value: Column, quantiles: dict[str, float], within: tuple[int, ...] = ()) -> DataFrame:
-    """n, mean, min, max, exact interpolated quantiles, and the share of values at most each of ``within``. NULL and NaN are left out."""
+def describe(rows: DataFrame, group: list[str], value: Column, quantiles: dict[str, float], within: tuple[int, ...] = (), continuous: bool = False) -> DataFrame:
+    """n, mean, min, max, exact interpolated quantiles, and the share of values at most each of ``within``. NULL and NaN are left out.
+
+    The state of a group holds a count per distinct value, as fits lengths, months and counts; for ``continuous`` values the
+    quantiles come from running counts over many tasks.
+    """
     v = F.when(~F.isnan(value.cast("double")), value.cast("double"))
     held = rows.select(*group, v.alias("__v")).where("__v is not null")
     parts = [F.count("*").alias("n"), F.avg("__v").alias("mean"), F.min("__v").alias("low"), F.max("__v").alias("high")]
-    parts += [F.percentile("__v", q).alias(name) for name, q in quantiles.items()]
+    parts += [] if continuous else [F.percentile("__v", q).alias(name) for name, q in quantiles.items()]
     parts += [F.avg((F.col("__v") <= w).cast("double")).alias(f"within_{w}") for w in within]
-    return held.groupBy(*group).agg(*parts)
+    out = held.groupBy(*group).agg(*parts)
+    if continuous and quantiles:
+        spread = ranks.quantiles(held, group, "__v", quantiles)
+        both = out.alias("o").join(spread.alias("q"), functools.reduce(Column.__and__, [F.col(f"o.{g}").eqNullSafe(F.col(f"q.{g}")) for g in group], F.lit(True)))
+        out = both.select("o.*", *(f"q.{name}" for name in quantiles))
+    first = [*group, "n", "mean", "low", "high", *quantiles]
+    return out.select(*first, *(c for c in out.columns if c not in first))
 
 
 def coverage(rows: DataFrame, group: str, flags: dict[str, Column], total: str = "Combined") -> DataFrame:
@@ -147,10 +159,8 @@ def two_neighbor_ratios(neighbors: DataFrame, group: str = "grp") -> DataFrame:
 
 def _in_order(held: DataFrame, group: str) -> DataFrame:
     """With ``__i``, the place of each row from 1 by (mu, id) in its group, and ``__n``, the group's rows."""
-    from veclore.operators.ranks import average_ranks
-
     same = Window.partitionBy(group, "mu")
-    placed = average_ranks(held, [group], "mu", name="__r").withColumn("__t", F.row_number().over(same.orderBy("id"))).withColumn("__s", F.count("*").over(same))
+    placed = ranks.average_ranks(held, [group], "mu", name="__r").withColumn("__t", F.row_number().over(same.orderBy("id"))).withColumn("__s", F.count("*").over(same))
     placed = placed.withColumn("__i", F.col("__r") - (F.col("__s") - 1) / 2.0 + F.col("__t") - 1)
     return placed.join(held.groupBy(group).agg(F.count("*").alias("__n")), group).drop("__r", "__t", "__s")
 
@@ -163,10 +173,10 @@ def two_neighbor_dimension(ratios: DataFrame, group: str = "grp", trim: float =
     facts = held.groupBy(group).agg(F.count("mu").alias("__valid"), F.count_if(F.col("mu").isNull()).alias("invalid"))
     held = held.where("mu is not null")
     if trim > 0:
-        ends = held.groupBy(group).agg(F.count("*").alias("__c"), F.percentile("mu", trim).alias("__lo"), F.percentile("mu", 1 - trim).alias("__hi"))
+        ends = held.groupBy(group).agg(F.count("*").alias("__c")).join(ranks.quantiles(held, [group], "mu", {"__lo": trim, "__hi": 1 - trim}), group)
         held = written(held.join(ends, group).where("__c <= 10 or mu between __lo and __hi").drop("__c", "__lo", "__hi"), "ratios")
-    curve = _in_order(held, group).select(group, "mu", F.log("mu").alias("x"), (-F.log1p(-(F.col("__i") - 0.5) / F.col("__n"))).alias("y"))
-    fit = curve.groupBy(group).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("dimension"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.min("mu").alias("mu_min"), F.percentile("mu", 0.5).alias("mu_median"), F.max("mu").alias("mu_max"))
+    curve = _in_order(held, group).select(group, "mu", "__i", "__n", F.log("mu").alias("x"), (-F.log1p(-(F.col("__i") - 0.5) / F.col("__n"))).alias("y"))
+    fit = curve.groupBy(group).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("dimension"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.min("mu").alias("mu_min"), F.avg(F.when(F.col("__i").between(F.col("__n") / 2, F.col("__n") / 2 + 1), F.col("mu"))).alias("mu_median"), F.max("mu").alias("mu_max"))
     enough = F.col("n") >= least
     out = facts.join(fit, group, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.select(group, "n", "invalid", (F.col("__valid") - F.col("n")).alias("trimmed"), *(F.when(enough, F.col(c)).alias(c) for c in ("dimension", "intercept", "r2")), "mu_min", "mu_median", "mu_max")

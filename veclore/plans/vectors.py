@@ -383,7 +383,11 @@ def neighbor_ratios(spark: SparkSession, folder: str) -> DataFrame:
     r = written(stats.two_neighbors(_near(spark, folder, 2)), "ratios")
     valid = F.col("mu").isNotNull()
     zeros = [F.count_if(F.col(c) <= 1e-12).alias(f"{c}_zero") for c in ("r1", "r2")]
-    return r.groupBy("grp").agg(F.count("mu").alias("n"), *zeros, *(F.round(F.percentile(F.when(valid, F.col(c)), q), 6).alias(f"{c}_{int(q * 100)}") for c in ("r1", "r2", "mu") for q in (0.1, 0.5, 0.9)))
+    out = r.groupBy("grp").agg(F.count("mu").alias("n"), *zeros)
+    for c in ("r1", "r2", "mu"):
+        spread = ranks.quantiles(r.where(valid), ["grp"], c, {f"{c}_{int(q * 100)}": q for q in (0.1, 0.5, 0.9)})
+        out = out.join(spread.select("grp", *(F.round(n, 6).alias(n) for n in spread.columns[1:])), "grp", "left")
+    return out
 
 
 RATIOS_SQL = f"""WITH {CACHED_SQL}, {asks_sql(2)}, r AS (SELECT grp, query_id, min(distance) r1, max(distance) r2 FROM near GROUP BY 1, 2 HAVING count(*) = 2), v AS (SELECT *, CASE WHEN r1 > 1e-12 AND r2 > r1 THEN r2 / r1 END mu FROM r)

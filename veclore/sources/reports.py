@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veclore.operators.ranks import quantiles
+
 
 def cell(c: Column, kind: str, digits: int = 4) -> Column:
     """A value as report text: numbers with ``digits`` decimals, ``NA`` for NULL and non-finite ones."""
@@ -43,7 +45,7 @@ def histogram(rows: DataFrame, group: str, value: str, low: float, high: float,
 def box(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, q1, median, q3, low, high): quartiles, and the outermost values within 1.5 box lengths of the box."""
     held = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
-    q = held.groupBy(group).agg(F.count("*").alias("n"), *(F.percentile("v", p).alias(k) for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    q = held.groupBy(group).agg(F.count("*").alias("n")).join(quantiles(held, [group], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}), group)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = held.join(q, group).where((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach))
     return inside.groupBy(group).agg(*(F.first(c).alias(c) for c in ("n", "q1", "median", "q3")), F.min("v").alias("low"), F.max("v").alias("high"))
