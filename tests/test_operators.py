@@ -90,6 +90,7 @@ def test_alignment_against_brute_force():
     for _ in range(60):
         a, b = ("".join(rng.choice(list("ACGT"), rng.integers(1, 14))) for _ in range(2))
         wrong, gaps, aligned = alignment_counts(a, b)
+        assert all(alignment_counts(a, b, band) == (wrong, gaps, aligned) for band in (0, 1, 3, 500))
         assert 2 * aligned + gaps == len(a) + len(b)
         best = brute_alignment(a, b)
         # gaps of g letters in k runs cost 2 k + .5 (g - k): the score fixes k
