@@ -101,3 +101,21 @@ def test_labels_of_the_last_file_win(spark, tmp_path):
     (tmp_path / "1.csv").write_text(head + "E1,,true,,x.1.2,,,\n" + "".join(f"F{i},,true,,y,,,\n" for i in range(2000)))
     (tmp_path / "2.csv").write_text(head + "E1,,true,,z.1.2,,,\nE1,,true,,w.1.2,,,\n")
     assert tables.read_labels(spark, str(tmp_path)).where("epi_isl = 'E1'").first()["clade"] == "w.1.2"
+
+
+def test_figure_data(spark):
+    rows = spark.createDataFrame([("a", 0.1, -0.1), ("a", 0.4, -0.4), ("a", float("nan"), 1.0), ("a", 2.0, None), ("b", 1.0, 1.0)], "grp string, x double, y double")
+    assert {tuple(r) for r in reports.density(rows, "grp", "x", "y", 0.5).collect()} == {("a", 0, -1, 2), ("b", 2, 2, 1)}
+    line = spark.createDataFrame([("a", float(i), float(i)) for i in range(5)] + [("b", 1.0, 1.0)], "grp string, x double, y double")
+    got = {r["grp"]: r for r in reports.ellipses(line, "grp", "x", "y").collect()}
+    assert abs(got["a"]["angle"] - 45) < 1e-9 and got["a"]["short"] < 1e-6 and abs(got["a"]["long"] - (5.991465 * 5.0) ** 0.5) < 1e-9
+    assert (got["b"]["n"], got["b"]["long"], got["b"]["angle"]) == (1, None, None)
+    assert reports.ellipses(line.where("false"), "grp", "x", "y").count() == 0
+
+
+def test_content_digest(spark):
+    rows = [(1, "a"), (2, None), (2, None), (3, "")]
+    of = lambda r: tuple(tables.content_digest(spark.createDataFrame(r, "id int, t string"), ["id", "t"]).first())
+    assert of(rows) == of(rows[::-1]) and of(rows)[0] == 4
+    assert len({of(rows), of(rows[:3]), of([*rows[:3], (3, None)]), of([(1, "a"), (2, None), (3, ""), (3, "")])}) == 4
+    assert of([]) == (0, "0")

@@ -67,8 +67,8 @@ def exact_neighbors(rows: DataFrame, k: int, group: str = "grp", key: str = "id"
                 d = {"euclidean": lambda c=c, z=part[i]: np.sqrt(((x[c] - z) ** 2).sum(axis=1)), "cosine": lambda c=c, z=part[i]: 1 - (x[c] * z).sum(axis=1), "hamming": lambda c=c, r=r: r[c]}[metric]()
                 d = d if digits is None else np.round(d, digits)
                 o = np.lexsort((ids[c], d))[:k]
-                out.append(pd.DataFrame({"grp": p.grp.iloc[0], "query_id": me, "neighbor_id": ids[c][o], "distance": d[o]}))
-        return pd.concat(out)
+                out.append((np.repeat(me, len(o)), ids[c][o], d[o]))
+        return pd.DataFrame({"grp": p.grp.iloc[0], **dict(zip(("query_id", "neighbor_id", "distance"), map(np.concatenate, zip(*out))))})
 
     kind = dict(held.dtypes)
     found = there.select(*names).unionByName(asked.select(*names)).groupBy("grp", "q_part", "r_part", "q", "r").applyInPandas(best, f"grp {kind['grp']}, query_id {kind['id']}, neighbor_id {kind['id']}, distance double")

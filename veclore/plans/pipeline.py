@@ -93,6 +93,18 @@ def table_digests(spark: SparkSession, folder: str) -> DataFrame:
     return files.file_digests(spark, f"{folder}/records.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
 
 
+DIGESTED = ["epi_isl", "strain_name", "subtype", "year", "month", "day", "ha_sequence", "na_sequence", "lab_code"]
+
+
+def content_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and digest of the content of the records table, whatever its files are."""
+    return files.content_digest(table(spark, folder, "records"), DIGESTED)
+
+
+_DIGESTED_SQL = " || '|' || ".join(f"coalesce('=' || {c}::VARCHAR, '')" for c in DIGESTED)
+DIGEST_SQL = f"SELECT count(*) AS rows, coalesce(sum(('0x' || substr(md5({_DIGESTED_SQL}), 1, 12))::BIGINT), 0)::HUGEINT::VARCHAR digest FROM records"
+
+
 def sequence_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Summary of HA lengths per type."""
     out = stats.describe(records(spark, folder), ["grp"], F.length("ha"), {"p05": 0.05, "p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}, (1700,))
@@ -138,6 +150,24 @@ WHERE len(na) >= q1 - 1.5 * (q3 - q1) AND len(na) <= q3 + 1.5 * (q3 - q1) GROUP
 BOX_SQL = BOX_SQL.replace("r.grp IS NOT DISTINCT FROM q.grp", "r.grp = q.grp")
 
 
+def vector_density(spark: SparkSession, folder: str) -> DataFrame:
+    """Squares of a density figure of the first two elements of the vectors."""
+    return reports.density(cached(spark, folder).select("grp", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y")), "grp", "x", "y", 0.5)
+
+
+DENSITY_SQL = f"WITH {CACHED_SQL} SELECT grp, floor(vector[1] / 0.5)::BIGINT x_bin, floor(vector[2] / 0.5)::BIGINT y_bin, count(*) n FROM cached GROUP BY 1, 2, 3"
+
+
+def vector_ellipses(spark: SparkSession, folder: str) -> DataFrame:
+    """95 % ellipses of the first two elements of the vectors."""
+    out = reports.ellipses(cached(spark, folder).select("grp", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y")), "grp", "x", "y")
+    return out.select("grp", "n", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
+
+
+ELLIPSE_SQL = f"""WITH {CACHED_SQL}, m AS (SELECT grp, count(*) n, avg(vector[1]) x, avg(vector[2]) y, var_samp(vector[1]) a, var_samp(vector[2]) b, covar_samp(vector[1], vector[2]) c FROM cached GROUP BY 1), s AS (SELECT *, sqrt((a - b) ** 2 / 4 + c ** 2) s FROM m)
+SELECT grp, n, round(x, 6) x, round(y, 6) y, {", ".join(f"CASE WHEN n > 1 THEN round({e}, 6) END {name}" for name, e in (("long", "sqrt(5.991465 * greatest((a + b) / 2 + s, 0))"), ("short", "sqrt(5.991465 * greatest((a + b) / 2 - s, 0))"), ("angle", "degrees(atan2(2 * c, a - b) / 2)")))} FROM s"""
+
+
 def stratified_years(spark: SparkSession, folder: str) -> DataFrame:
     """100 rows of each type spread over the years."""
     rows = cached(spark, folder).where("month_index is not null").withColumn("year", F.floor(F.col("month_index") / 12).cast("int")).select("grp", "year", "id")
@@ -342,9 +372,9 @@ s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 SELECT n, count(*) sessions FROM x WHERE e <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1"""
 
 
-QUERIES = {f.__name__: f for f in (fasta_pairs, dataset_roundtrip, label_file, resumed_cache, checked_vectors, table_digests, sequence_lengths, year_counts, report_lines, length_histogram, length_boxes, stratified_years, candidate_audit, candidate_ranks, window_mismatches, event_ranks, subtype_classifier, calibrated_classifier, stream_distinct, stream_windows, stream_sessions)}
+QUERIES = {f.__name__: f for f in (fasta_pairs, dataset_roundtrip, label_file, resumed_cache, checked_vectors, table_digests, content_digests, sequence_lengths, year_counts, report_lines, length_histogram, length_boxes, vector_density, vector_ellipses, stratified_years, candidate_audit, candidate_ranks, window_mismatches, event_ranks, subtype_classifier, calibrated_classifier, stream_distinct, stream_windows, stream_sessions)}
 ORACLES = {
     "fasta_pairs": FASTA_SQL, "dataset_roundtrip": DATASET_SQL, "label_file": LABEL_FILE_SQL, "resumed_cache": RESUMED_SQL, "checked_vectors": CHECKED_SQL, "sequence_lengths": LENGTHS_SQL, "year_counts": YEARS_SQL, "report_lines": REPORT_SQL, "length_histogram": HISTOGRAM_SQL, "length_boxes": BOX_SQL,
     "stratified_years": STRATIFIED_SQL, "event_ranks": EVENT_RANKS_SQL, "subtype_classifier": CLASSIFIER_SQL, "stream_distinct": STREAM_DISTINCT_SQL, "stream_windows": STREAM_WINDOWS_SQL,
-    "stream_sessions": SESSIONS_SQL, "candidate_audit": AUDIT_SQL, "candidate_ranks": RANKS_SQL, "window_mismatches": WINDOW_MISMATCH_SQL, "calibrated_classifier": CALIBRATED_SQL,
+    "stream_sessions": SESSIONS_SQL, "content_digests": DIGEST_SQL, "vector_density": DENSITY_SQL, "vector_ellipses": ELLIPSE_SQL, "candidate_audit": AUDIT_SQL, "candidate_ranks": RANKS_SQL, "window_mismatches": WINDOW_MISMATCH_SQL, "calibrated_classifier": CALIBRATED_SQL,
 }

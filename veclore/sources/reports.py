@@ -49,3 +49,22 @@ def box(rows: DataFrame, group: str, value: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = held.join(q, group).where((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach))
     return inside.groupBy(group).agg(*(F.first(c).alias(c) for c in ("n", "q1", "median", "q3")), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def density(rows: DataFrame, group: str, x: str, y: str, step: float) -> DataFrame:
+    """(group, x_bin, y_bin, n): the rows of each square of ``step``, for scatter and density figures. Rows without two finite values are left out."""
+    good = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in (x, y)]
+    bins = [F.floor(F.col(c) / step).alias(f"{n}_bin") for c, n in ((x, "x"), (y, "y"))]
+    return rows.where(good[0] & good[1]).groupBy(group, *bins).agg(F.count("*").alias("n"))
+
+
+def ellipses(rows: DataFrame, group: str, x: str, y: str, reach: float = 5.991465) -> DataFrame:
+    """(group, n, x, y, long, short, angle): centre, half axes and angle in degrees of the ellipse that holds the share ``reach`` (a
+    chi-squared quantile of two degrees, here 95 %) of a normal distribution. Groups of one row give NULL axes."""
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    m = both.groupBy(group).agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"), F.var_samp(x).alias("a"), F.var_samp(y).alias("b"), F.covar_samp(x, y).alias("c"))
+    spread = F.sqrt((F.col("a") - F.col("b")) ** 2 / 4 + F.col("c") ** 2)
+    half = lambda s: F.sqrt(reach * F.greatest((F.col("a") + F.col("b")) / 2 + s, F.lit(0.0)))
+    angle = F.degrees(F.atan2(2 * F.col("c"), F.col("a") - F.col("b")) / 2)
+    several = lambda c: F.when(F.col("n") > 1, c)
+    return m.select(group, "n", "x", "y", several(half(spread)).alias("long"), several(half(-spread)).alias("short"), several(angle).alias("angle"))
