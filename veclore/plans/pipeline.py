@@ -319,8 +319,8 @@ def calibrated_classifier(spark: SparkSession, folder: str) -> DataFrame:
 CALIBRATED_SQL = f"""WITH {CACHED_SQL}, h AS (SELECT id, grp, vector, row_number() OVER (PARTITION BY grp ORDER BY sha1('42|' || id::VARCHAR), id) <= count(*) OVER (PARTITION BY grp) // 2 cal FROM cached WHERE grp IN {CLASSES}),
 f AS (SELECT id, grp, cal, unnest(vector) x, unnest(range(0, 64)) p FROM h), m AS (SELECT grp g, p, avg(x) m FROM f WHERE cal GROUP BY 1, 2),
 d AS (SELECT id, grp, cal, g, -sum((x - m) ** 2) l FROM f JOIN m ON m.p = f.p WHERE grp <> 'H1N2' GROUP BY 1, 2, 3, 4), l AS (SELECT id, (grp = 'H3N2')::INT t, cal, {", ".join(f"max(l) FILTER (g = '{g}') l{i}" for i, g in enumerate(CLASSES))} FROM d GROUP BY 1, 2, 3),
-k AS (SELECT t, CASE WHEN avg(l0) >= avg(l1) AND avg(l0) >= avg(l2) THEN 0 WHEN avg(l1) >= avg(l2) THEN 1 ELSE 2 END i FROM l WHERE cal GROUP BY 1), ab AS (SELECT (SELECT i FROM k WHERE t = 0) a, (SELECT i FROM k WHERE t = 1) b),
-z AS (SELECT t, a, b, CASE WHEN a <> b THEN CASE WHEN [l0, l1, l2][a + 1] >= [l0, l1, l2][b + 1] THEN 0 ELSE 1 END END p, CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END NOT IN (a, b) u, list_stddev_pop([l0, l1, l2]) sd FROM l, ab WHERE NOT cal),
+k AS (SELECT t, CASE WHEN avg(l0) >= greatest(avg(l1), avg(l2)) THEN 0 WHEN avg(l1) >= greatest(avg(l1), avg(l2)) THEN 1 ELSE 2 END i FROM l WHERE cal GROUP BY 1), ab AS (SELECT (SELECT i FROM k WHERE t = 0) a, (SELECT i FROM k WHERE t = 1) b),
+z AS (SELECT t, a, b, CASE WHEN a <> b THEN CASE WHEN [l0, l1, l2][a + 1] >= [l0, l1, l2][b + 1] THEN 0 ELSE 1 END END p, CASE WHEN l0 >= greatest(l1, l2) THEN 0 WHEN l1 >= greatest(l1, l2) THEN 1 ELSE 2 END NOT IN (a, b) u, list_stddev_pop([l0, l1, l2]) sd FROM l, ab WHERE NOT cal),
 c AS (SELECT any_value(a) idx_a, any_value(b) idx_b, count(*) n, count(*) FILTER (t = 0 AND p = 0) c00, count(*) FILTER (t = 0 AND p = 1) c01, count(*) FILTER (t = 1 AND p = 0) c10, count(*) FILTER (t = 1 AND p = 1) c11, count(*) FILTER (u) unknown, avg(sd) sd FROM z)
 SELECT idx_a, idx_b, idx_a = idx_b AS ambiguous, n, c00, c01, c10, c11, CASE WHEN idx_a <> idx_b THEN round((c00 + c11) / n, 6) END accuracy,
   CASE WHEN idx_a <> idx_b THEN round((coalesce(2 * c00 / nullif(2 * c00 + c01 + c10, 0), 0) + coalesce(2 * c11 / nullif(2 * c11 + c01 + c10, 0), 0)) / 2, 6) END macro_f1, unknown, round(unknown / n, 6) unknown_share, round(sd, 6) mean_logit_std FROM c"""
