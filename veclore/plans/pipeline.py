@@ -152,7 +152,7 @@ BOX_SQL = BOX_SQL.replace("r.grp IS NOT DISTINCT FROM q.grp", "r.grp = q.grp")
 
 def vector_density(spark: SparkSession, folder: str) -> DataFrame:
     """Squares of a density figure of the first two elements of the vectors."""
-    return reports.density(cached(spark, folder).select("grp", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y")), "grp", "x", "y", 0.5)
+    return reports.density(cached(spark, folder).select("grp", F.get("vector", F.lit(0)).alias("x"), F.get("vector", F.lit(1)).alias("y")), "grp", "x", "y", 0.5)
 
 
 DENSITY_SQL = f"WITH {CACHED_SQL} SELECT grp, floor(vector[1] / 0.5)::BIGINT x_bin, floor(vector[2] / 0.5)::BIGINT y_bin, count(*) n FROM cached GROUP BY 1, 2, 3"
